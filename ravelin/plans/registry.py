@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ravelin.plans import problems
+from ravelin.plans import documents, problems
 
-MODULES = [problems]
+MODULES = [problems, documents]
 
 
 def queries() -> dict:
