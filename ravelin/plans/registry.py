@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ravelin.plans import documents, problems
+from ravelin.plans import documents, graphs, problems
 
-MODULES = [problems, documents]
+MODULES = [problems, documents, graphs]
 
 
 def queries() -> dict:
