@@ -72,18 +72,27 @@ def lines(text: str) -> Iterator[str]:
         yield " ".join(held)
 
 
+def _open_quote(s: str) -> bool:
+    """Whether a quotation mark in ``s`` isn't closed."""
+    if s.count('"') % 2:
+        return True
+    if s.isascii():
+        return False
+    low = s.count("„")
+    return s.count("«") > s.count("»") or s.count("「") > s.count("」") or (low > s.count("“") + s.count("”") if low else s.count("“") > s.count("”"))
+
+
 def sentences(text: str) -> Iterator[str]:
     """Sentences of a text without markup; a sentence isn't ended inside quotation marks."""
     for line in lines(text):
-        held, quotes = "", 0
+        held = ""
         for part in _END.split(line):
             if not part:
                 continue
             held = f"{held} {part}" if held else part
-            quotes += part.count('"')
-            if quotes % 2 == 0 or len(held) > 400:
+            if not _open_quote(held) or len(held) > 400:
                 yield held
-                held, quotes = "", 0
+                held = ""
         if held:
             yield held
 
