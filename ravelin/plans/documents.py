@@ -97,6 +97,9 @@ scenarios AS (SELECT doc_id, scenario_no, scenario, CAST(NULL AS VARCHAR) AS rul
 """
 
 
+BOUNDARIES = _BASE + rf", cat AS (SELECT *, coalesce(last_value(CASE WHEN {s('line')} LIKE '###%' THEN CASE WHEN regexp_matches(lower(line), '允许修改|allow') THEN 'allow' WHEN regexp_matches(lower(line), '禁止|forbidden|must not') THEN 'deny' WHEN regexp_matches(lower(line), 'symbols|符号') THEN 'symbols' END END IGNORE NULLS) OVER (PARTITION BY doc_id, section_no ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'general') AS category FROM sect WHERE kind = 'boundaries'), bounds AS (SELECT doc_id, line_no, category, {s("regexp_extract(line, '^\\s*-(.*)$', 1)")} AS item FROM cat WHERE regexp_matches(line, '^\s*-\s*\S')) "
+
+
 def _first(x: str, terms: tuple[list[str], list[str]]) -> str:
     cases = [f"WHEN contains({x}, '{t}') THEN '{t}'" for t in terms[0]] + [f"WHEN contains(lower({x}), '{t}') THEN '{t}'" for t in terms[1]]
     return f"CASE {' '.join(cases)} END"
@@ -124,7 +127,7 @@ pairs AS (SELECT doc_id, lower(regexp_extract(line, '^\s*([A-Za-z_]+)\s*:', 1))
 wide AS (SELECT doc_id, max(v) FILTER (k = 'spec') AS level, max(v) FILTER (k = 'kind') AS kind, max(v) FILTER (k = 'id') AS id, coalesce(max(v) FILTER (k = 'name'), max(v) FILTER (k = 'title')) AS name, max(v) FILTER (k = 'status') AS status, max(v) FILTER (k = 'risk') AS risk, max(v) FILTER (k = 'tags') AS tags, max(v) FILTER (k = 'satisfies') AS satisfies, max(v) FILTER (k = 'depends') AS depends FROM pairs GROUP BY doc_id)
 SELECT * REPLACE (regexp_replace(regexp_replace(coalesce(tags, ''), '[\[\]]', '', 'g'), '\s*,\s*', '|', 'g') AS tags, upper(regexp_replace(regexp_replace(coalesce(satisfies, ''), '[\[\]]', '', 'g'), '\s*,\s*', '|', 'g')) AS satisfies, regexp_replace(regexp_replace(coalesce(depends, ''), '[\[\]]', '', 'g'), '\s*,\s*', '|', 'g') AS depends) FROM wide""",
         "spec_sections": _BASE + f"SELECT doc_id, section_no, heading, kind, count(*) AS n_lines FROM sect WHERE {s('line')} <> '' GROUP BY ALL",
-        "spec_boundaries": _BASE + rf", cat AS (SELECT *, coalesce(last_value(CASE WHEN {s('line')} LIKE '###%' THEN CASE WHEN {q}(lower(line), '允许修改|allow') THEN 'allow' WHEN {q}(lower(line), '禁止|forbidden|must not') THEN 'deny' WHEN {q}(lower(line), 'symbols|符号') THEN 'symbols' END END IGNORE NULLS) OVER (PARTITION BY doc_id, section_no ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'general') AS category FROM sect WHERE kind = 'boundaries') SELECT doc_id, line_no, category, {s("regexp_extract(line, '^\\s*-(.*)$', 1)")} AS item FROM cat WHERE {q}(line, '^\s*-\s*\S')",
+        "spec_boundaries": BOUNDARIES + "SELECT * FROM bounds",
         "spec_decisions": _BASE + rf"SELECT doc_id, line_no, {s("regexp_extract(line, '^\\s*-(.*)$', 1)")} AS item FROM sect WHERE kind = 'decisions' AND {q}(line, '^\s*-\s*\S')",
         "spec_scenarios": _BASE + ", n AS (SELECT doc_id, scenario_no, count(*) AS n_steps FROM steps GROUP BY ALL) SELECT s.*, '' AS tags, CAST(NULL AS VARCHAR) AS review, 'standard' AS mode, '' AS depends_on, coalesce(n_steps, 0) AS n_steps FROM scenarios s LEFT JOIN n USING (doc_id, scenario_no)",
         "spec_steps": _BASE + """SELECT doc_id, scenario_no, scenario, step_no, kind, step, coalesce(list_aggregate(list_filter(regexp_extract_all(line, '["“]([^"“”]*)["”]', 1), lambda x: x <> ''), 'string_agg', '|'), '') AS params FROM steps""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ravelin.plans import documents, graphs, problems
+from ravelin.plans import analytics, documents, graphs, problems
 
-MODULES = [problems, documents, graphs]
+MODULES = [problems, documents, graphs, analytics]
 
 
 def queries() -> dict:
