@@ -41,7 +41,7 @@ LONGEST = 40
 LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"})
 _LINE_START = re.compile(r"^[ \t]*(?:/{2,}!?|>+|#(?!\w)|\*(?= ))[ \t]?")
 _ITEM_START = re.compile(r"^[ \t]*(?:\[[^\]\n]{1,20}\]|\d+[.)]|[-*+]|#+|\w[\w ]{0,20}:)[ \t]")
-_END = re.compile(r"(?<=[.!?。！？;；])[\"”»)]*\s+|(?<=[。！？；])")
+_END = re.compile(r"(?<=[.!?;])\s+|(?<=[.!?;][\"”»)])\s+(?![a-zà-ÿ])|(?<=[。！？；])\s*(?![”」』])|(?<=[。！？；][”」』])\s*")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([ _.\-*|/])[^\W\d_])(?:\1[^\W\d_])+(?![^\W\d_])")
 _TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{},;:?。，！？：；、]+")
 _ID = re.compile(r"::|_|/|\\|#[0-9a-f]+$|\.\w+$|[a-z][A-Z]|^[A-Z]+-")
@@ -307,12 +307,12 @@ def _sentence_model(docs: list[list[tuple[str, ...]]], toxic: np.ndarray) -> np.
     for r in range(3):
         use = np.concatenate([np.flatnonzero(found), clean[~found[clean]]])
         target = found[use].astype(np.float32)
-        weight = np.where(target > 0, min(8.0, max(1.0, len(clean) / (4.0 * max(1, found.sum())))), np.minimum(1 + np.log(np.maximum(count[0][use], 1)), 4.0) * np.where(hard[use], 5.0, 1.0)).astype(np.float32)
+        weight = np.where(target > 0, min(8.0, max(1.0, len(clean) / (4.0 * max(1, found.sum())))), np.minimum(1 + np.log(np.maximum(count[0][use], 1)), 4.0) * np.where(hard[use], 8.0, 1.0)).astype(np.float32)
         odds = _train([bags[i] for i in use], target, weight, SEED + r, EPOCHS)
         z = np.array([odds[b].mean() for b in bags]) + odds[-1]
         found = only & (lift > 0) & (z > 0)
         # clean sentences that it takes for toxic, or nearly, weigh more and are all among the next round's
-        hard = (count[0] > 0) & ~found & (z > -1.5)
+        hard |= (count[0] > 0) & ~found & (z > -2)
         clean = np.union1d(clean, np.flatnonzero(hard))
     return odds
 
