@@ -41,7 +41,7 @@ LONGEST = 40
 LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"})
 _LINE_START = re.compile(r"^[ \t]*(?:/{2,}!?|>+|#(?!\w)|\*(?= ))[ \t]?")
 _ITEM_START = re.compile(r"^[ \t]*(?:\[[^\]\n]{1,20}\]|\d+[.)]|[-*+]|#+|\w[\w ]{0,20}:)[ \t]")
-_END = re.compile(r"(?<=[.!?;])\s+|(?<=[.!?;][\"”»)])\s+(?![a-zà-ÿ])|(?<=[。！？；])\s*(?![”」』])|(?<=[。！？；][”」』])\s*")
+_END = re.compile(r"[.!?;](?:\s+|[\"”»)]\s+(?![a-zà-ÿ]))|[。！？；][”」』]?\s*")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([ _.\-*|/])[^\W\d_])(?:\1[^\W\d_])+(?![^\W\d_])")
 _TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{},;:?。，！？：；、]+")
 _ID = re.compile(r"::|_|/|\\|#[0-9a-f]+$|\.\w+$|[a-z][A-Z]|^[A-Z]+-")
@@ -85,8 +85,9 @@ def _open_quote(s: str) -> bool:
 def sentences(text: str) -> Iterator[str]:
     """Sentences of a text without markup; a sentence isn't ended inside quotation marks."""
     for line in lines(text):
-        held = ""
-        for part in _END.split(line):
+        held, start = "", 0
+        for end in [*[m.end() for m in _END.finditer(line)], len(line)]:
+            part, start = line[start:end].strip(), end
             if not part:
                 continue
             held = f"{held} {part}" if held else part
@@ -120,45 +121,48 @@ def _joined(m: re.Match) -> str:
     return m.group().replace(m.group(1), "")
 
 
+class _Seen(dict):
+    """Tokens and what they are read as."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        w = self[raw] = _word(raw)
+        return w
+
+
 class Reader:
     """Texts as sentences of words; what a token is read as is remembered."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, str] = {}
+        self.seen = _Seen()
 
     def read(self, text: str) -> list[tuple[str, ...]]:
-        if not text.isascii():
-            text = text.translate(_Hidden.table)
+        plain_text = text.isascii()
+        if not plain_text:
+            text = _HIDDEN.sub("", text)
         text = unmarked(text)
         out = []
-        seen = self.seen
+        word = self.seen.__getitem__
         for sentence in sentences(text):
-            if '"' in sentence or "'" in sentence or "`" in sentence or not sentence.isascii():
+            if '"' in sentence or "'" in sentence or "`" in sentence or not (plain_text or sentence.isascii()):
                 own = _QUOTED.sub(" QUOTE ", sentence)
                 if own.replace("QUOTE", "").strip(" .,:;!?-"):
                     sentence = own
             if _SPACED.search(sentence):
                 sentence = _SPACED.sub(_joined, sentence)
-            ws = []
-            for raw in _TOKEN.findall(sentence):
-                w = seen.get(raw)
-                if w is None:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    w = seen[raw] = _word(raw)
-                if w:
-                    ws.append(w)
+            ws = [w for w in map(word, _TOKEN.findall(sentence)) if w]
+            if len(ws) <= LONGEST:
+                if ws:
+                    out.append(tuple(ws))
+                continue
             for lo in range(0, len(ws), LONGEST):
-                piece = tuple(ws[max(0, lo - 5) : lo + LONGEST])
-                if piece:
-                    out.append(piece)
+                out.append(tuple(ws[max(0, lo - 5) : lo + LONGEST]))
         return out
 
 
-class _Hidden:
-    """Characters that print nothing."""
-
-    table = {c: None for c in [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10)]}
+#: Characters that print nothing.
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
 
 
 def _hash(s: str) -> int:
