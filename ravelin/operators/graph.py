@@ -165,7 +165,7 @@ def closure_down(frontier: DataFrame, contains: DataFrame) -> DataFrame:
         level = cut(level.join(contains, level["id"] == contains["from_id"]).select(F.col("to_id").alias("id")).distinct().join(every, "id", "left_anti"))
         if not level.limit(1).count():
             return every
-        every = cut(every.unionByName(level))
+        every = cut(every.unionByName(level).coalesce(every.rdd.getNumPartitions()))
 
 
 def impact(rows: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
@@ -213,7 +213,7 @@ def layers(links: DataFrame) -> DataFrame:
         free = cut(nodes.join(waiting, "node", "left_anti"))
         if not free.limit(1).count():
             return done
-        done = cut(done.unionByName(free.select("node", F.lit(n).alias("layer"))))
+        done = done.unionByName(free.select("node", F.lit(n).alias("layer")))
         nodes = cut(nodes.join(free, "node", "left_anti"))
         links = cut(links.join(free.withColumnRenamed("node", "before"), "before", "left_anti").select("before", "after"))
         n += 1

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ravelin.plans import analytics, documents, graphs, problems
+from ravelin.plans import analytics, documents, graphs, problems, questions
 
-MODULES = [problems, documents, graphs, analytics]
+MODULES = [problems, documents, graphs, analytics, questions]
 
 
 def queries() -> dict:
