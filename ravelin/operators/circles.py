@@ -4,29 +4,88 @@ Links that can't lie on a circle (a start that nothing leads to, an end that
 leads nowhere) are taken away round by round.  What remains is coloured: each
 node takes the smallest id that reaches it; of the nodes with one colour, those
 that reach the colour's own node are its component; the rest goes round again.
-All steps are joins on distributed links; only counts reach the driver.
+All steps are joins on distributed links; only counts reach the driver.  Links
+that are few by now (``FEW``, checked) go to one task, which finds the same
+components by depth-first search; rounds for a handful of rows cost more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.session import cut
 
 
-def trimmed(links: DataFrame) -> DataFrame:
-    """``links`` (a, b) without those on no circle, except ways between circles."""
+#: Links that one task takes at most.
+FEW = 50_000
+
+
+def trimmed(links: DataFrame, few: int) -> tuple[DataFrame, int]:
+    """``links`` (a, b) without those on no circle, except ways between circles, and their number; no rounds once they are ``few``."""
     links = cut(links.distinct())
     n = links.count()
-    while n:
+    while n > few:
         starts, ends = links.select(F.col("a").alias("b")).distinct(), links.select(F.col("b").alias("a")).distinct()
         links = cut(links.join(ends, "a", "left_semi").join(starts, "b", "left_semi").select("a", "b"))
         left = links.count()
         if left == n:
             break
         n = left
-    return links
+    return links, n
+
+
+def strong(a: list[str], b: list[str]) -> dict[str, str]:
+    """Node -> smallest node of its component, for nodes that can reach themselves over links a -> b (depth-first, two stacks)."""
+    after: dict[str, list[str]] = {}
+    for x, y in zip(a, b):
+        after.setdefault(x, []).append(y)
+        after.setdefault(y, [])
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    path: list[str] = []
+    on: set[str] = set()
+    out: dict[str, str] = {}
+    for root in after:
+        work = [(root, iter(after[root]))] if root not in seen else []
+        while work:
+            v, rest = work[-1]
+            if v not in seen:
+                seen[v] = low[v] = len(seen)
+                path.append(v)
+                on.add(v)
+            for w in rest:
+                if w not in seen:
+                    work.append((w, iter(after[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], seen[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == seen[v]:
+                    at = path.index(v)
+                    members, path = path[at:], path[:at]
+                    on.difference_update(members)
+                    if len(members) > 1 or v in after[v]:
+                        out.update(dict.fromkeys(members, min(members)))
+    return out
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a: list[str] = []
+        b: list[str] = []
+        for batch in batches:
+            a += batch["a"].tolist()
+            b += batch["b"].tolist()
+        yield pd.DataFrame(list(strong(a, b).items()), columns=["node", "root_id"])
+
+    return links.select("a", "b").coalesce(1).mapInPandas(find, "node string, root_id string")
 
 
 def _spread(links: DataFrame, colours: DataFrame) -> DataFrame:
@@ -40,23 +99,23 @@ def _spread(links: DataFrame, colours: DataFrame) -> DataFrame:
         colours = after.drop("_moved")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root_id) for every node that can reach itself over ``links`` (a, b); root_id: the smallest of its component.
 
     Null ends are no links; a link from a node to itself is a circle.
     """
-    links = trimmed(links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b"))
+    links, n = trimmed(links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b"), few)
     found = links.select(F.col("a").alias("node"), F.col("a").alias("root_id")).limit(0)
-    while links.limit(1).count():
+    while n > few:
         nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         colours = _spread(links, nodes.select("node", F.col("node").alias("colour")))
         same = links.join(colours.select(F.col("node").alias("a"), F.col("colour").alias("_ca")), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("_cb")), "b").where(F.col("_ca") == F.col("_cb"))
         inner = cut(same.select("a", "b", F.col("_ca").alias("colour")))
         # backward from each colour's own node, within the colour
         reached = cut(inner.select(F.col("colour").alias("node"), "colour").distinct())
-        n = -1
-        while (now := reached.count()) != n:
-            n = now
+        before = -1
+        while (now := reached.count()) != before:
+            before = now
             back = inner.join(reached.withColumnRenamed("node", "b"), ["b", "colour"]).select(F.col("a").alias("node"), "colour")
             reached = cut(reached.unionByName(back).distinct())
         loops = inner.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
@@ -65,5 +124,5 @@ def components(links: DataFrame) -> DataFrame:
         found = cut(found.unionByName(whole.select("node", F.col("colour").alias("root_id"))))
         gone = reached.select("node")
         rest = links.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
-        links = trimmed(rest.select("a", "b"))
-    return found
+        links, n = trimmed(rest.select("a", "b"), few)
+    return found.unionByName(_in_one_task(links)) if n else found

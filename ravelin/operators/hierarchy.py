@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.ids import clean_requirement_id
-from ravelin.session import cut, salted_join
+from ravelin.session import HOT_ROWS, cut, salted_join
 
 
 def parent_links(plan_edges: DataFrame, kind: str = "child") -> DataFrame:
@@ -32,14 +32,23 @@ def parent_links(plan_edges: DataFrame, kind: str = "child") -> DataFrame:
     return rows.where(F.col("node").isNotNull() & F.col("parent").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _double(state: DataFrame, columns: list, ancestor: str = "anc") -> DataFrame:
-    """``state`` with the state of each row's ancestor beside it (prefix ``up_``); null for rows that are done."""
+def _double(state: DataFrame, columns: list, rows: int) -> DataFrame:
+    """``state`` with the state of each row's ancestor beside it (prefix ``up_``); null for rows that are done.
+
+    ``rows``: how many there are; too few can't have a hot ancestor.
+    """
+    ancestor = "anc"
     up = state.select(F.col("node").alias("_at"), *[F.col(c).alias(f"up_{c}") for c in columns])
     waiting = state.where(F.col(ancestor).isNotNull()).withColumn("_at", F.col(ancestor))
     done = state.where(F.col(ancestor).isNull())
     for c, t in [(c, t) for c, t in state.dtypes if c in columns]:
         done = done.withColumn(f"up_{c}", F.lit(None).cast(t))
-    return salted_join(waiting, up, "_at", "left", F.col("node")).drop("_at").unionByName(done)
+    return salted_join(waiting, up, "_at", "left", F.col("node"), _hot(rows)).drop("_at").unionByName(done)
+
+
+def _hot(rows: int) -> list | None:
+    """No hot keys among few rows; else they are to be counted."""
+    return [] if rows < HOT_ROWS else None
 
 
 def sizes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +59,7 @@ def sizes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     while waiting:
         # anc is the 2^j-th ancestor, size counts descendants above 2^j links (the node itself included)
         gained = state.where(F.col("anc").isNotNull()).groupBy("anc").agg(F.sum("size").alias("_gain")).withColumnRenamed("anc", "node")
-        doubled = _double(state, ["anc"]).drop("anc").withColumnRenamed("up_anc", "anc")
+        doubled = _double(state, ["anc"], waiting).drop("anc").withColumnRenamed("up_anc", "anc")
         state = cut(doubled.join(gained, "node", "left").select("node", "parent", "anc", (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size")))
         left = state.where(F.col("anc").isNotNull()).count()
         if left == waiting:
@@ -70,20 +79,20 @@ def circle_roots(circles: DataFrame) -> DataFrame:
     # the images of repeated doubling shrink to the nodes on circles
     landed, seen = state, state.select("anc").distinct().count()
     while True:
-        landed = cut(_double(landed, ["anc"]).select("node", F.col("up_anc").alias("anc"), "low"))
+        landed = cut(_double(landed, ["anc"], count).select("node", F.col("up_anc").alias("anc"), "low"))
         image = landed.select("anc").distinct().count()
         if image == seen:
             break
         seen = image
     on = cut(landed.select(F.col("anc").alias("node")).distinct().join(circles, "node").select("node", F.col("parent").alias("anc"), F.least("node", "parent").alias("low")))
     while True:
-        after = cut(_double(on, ["anc", "low"]).select("node", F.col("up_anc").alias("anc"), F.least("low", "up_low").alias("low"), (F.col("up_low") < F.col("low")).alias("_moved")))
+        after = cut(_double(on, ["anc", "low"], count).select("node", F.col("up_anc").alias("anc"), F.least("low", "up_low").alias("low"), (F.col("up_low") < F.col("low")).alias("_moved")))
         moved = after.where("_moved").limit(1).count()
         on = after.drop("_moved")
         if not moved:
             break
     roots = on.select(F.col("node").alias("_end"), F.col("low").alias("root_id"))
-    return salted_join(landed.select("node", F.col("anc").alias("_end")), roots, "_end", "inner", F.col("node")).select("node", "root_id")
+    return salted_join(landed.select("node", F.col("anc").alias("_end")), roots, "_end", "inner", F.col("node"), _hot(count)).select("node", "root_id")
 
 
 def heavy_paths(trees: DataFrame) -> DataFrame:
@@ -92,8 +101,9 @@ def heavy_paths(trees: DataFrame) -> DataFrame:
     heavy = trees.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.max(child).alias("_h")).select(F.col("_h.n").alias("node"), F.lit(True).alias("_heavy"))
     state = trees.join(heavy, "node", "left").select("node", "parent", "size", F.when(F.col("_heavy"), F.col("parent")).alias("anc"))
     state = cut(state.select("*", F.coalesce("anc", "node").alias("head"), F.when(F.col("anc").isNotNull(), 1).otherwise(0).cast("long").alias("pos")))
+    rows = state.count()
     while state.where(F.col("anc").isNotNull()).limit(1).count():
-        both = _double(state, ["anc", "head", "pos"])
+        both = _double(state, ["anc", "head", "pos"], rows)
         state = cut(both.select("node", "parent", "size", F.col("up_anc").alias("anc"), F.coalesce("up_head", "head").alias("head"), (F.col("pos") + F.coalesce("up_pos", F.lit(0))).alias("pos")))
     return state.drop("anc")
 
@@ -124,7 +134,8 @@ def roll_out(placed: DataFrame, paths: bool = True) -> DataFrame:
     """
     seat = placed.select(F.col("node").alias("parent"), F.col("head").alias("_chain"), F.col("pos").alias("_seat"))
     heads = placed.where(F.col("pos") == 0).select("node", "parent")
-    chains = salted_join(heads, seat, "parent", "left", F.col("node"))
+    n = placed.count()
+    chains = salted_join(heads, seat, "parent", "left", F.col("node"), _hot(n))
     chains = chains.join(_light_offsets(placed), "node", "left")
     # a chain: the chain it hangs on (anc), links from there, preorder numbers from there, ids above it
     chains = chains.select("node", F.col("_chain").alias("anc"), "_seat", F.coalesce(F.col("_seat") + 1, F.lit(0)).alias("up"), F.coalesce(F.col("_seat") + F.col("offset"), F.lit(0)).alias("pre"), F.coalesce("_chain", "node").alias("root_id"))
@@ -135,11 +146,11 @@ def roll_out(placed: DataFrame, paths: bool = True) -> DataFrame:
         chains = chains.withColumn("above", F.array().cast("array<string>"))
     chains = cut(chains.drop("_seat"))
     while chains.where(F.col("anc").isNotNull()).limit(1).count():
-        both = _double(chains, ["anc", "up", "pre", "root_id", "above"])
+        both = _double(chains, ["anc", "up", "pre", "root_id", "above"], n)
         zero = F.lit(0)
         chains = cut(both.select("node", F.col("up_anc").alias("anc"), (F.col("up") + F.coalesce("up_up", zero)).alias("up"), (F.col("pre") + F.coalesce("up_pre", zero)).alias("pre"), F.coalesce("up_root_id", "root_id").alias("root_id"), F.concat(F.coalesce("up_above", F.array().cast("array<string>")), "above").alias("above")))
     top = chains.select(F.col("node").alias("head"), "up", "pre", "root_id", "above")
-    rows = salted_join(placed.select("node", "head", "pos", "size"), top, "head", "inner", F.col("node"))
+    rows = salted_join(placed.select("node", "head", "pos", "size"), top, "head", "inner", F.col("node"), _hot(n))
     out = rows.select("node", "root_id", (F.col("up") + F.col("pos")).alias("depth"), (F.col("pre") + F.col("pos")).alias("preorder"), "size", "head", "pos", "above")
     if not paths:
         return out.drop("head", "pos", "above")

@@ -108,7 +108,7 @@ _MODE = r"regexp_replace(lower(" + clean("serving_mode") + r"), '[_\s-]+', '-',
 
 
 def _serving_sql(period: str, bits: int | None = None) -> str:
-    start = "CAST(started_at AS DATE)" if period == "day" else f"CAST(date_trunc('{period}', CAST(started_at AS DATE)) AS DATE)"
+    start = "CAST(started_at AT TIME ZONE 'UTC' AS DATE)" if period == "day" else f"CAST(date_trunc('{period}', CAST(started_at AT TIME ZONE 'UTC' AS DATE)) AS DATE)"
     value = "ms" if bits is None else f"CASE WHEN length(bin(ms)) <= {bits} THEN ms ELSE (ms // (1 << (length(bin(ms)) - {bits}))) * (1 << (length(bin(ms)) - {bits})) END"
     at = lambda q: f"min(CASE WHEN upto >= ceil(round({q} * total, 6)) THEN value END)"
     return f"""WITH once AS (SELECT * FROM serving_runs WHERE {clean('request_id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {clean('request_id')} ORDER BY arrived_at) = 1),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A key is hot if it holds at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 64
+#: A key with fewer rows than this is never hot.
+HOT_ROWS = 10_000
 #: Pieces that a hot key is split into.
 SALTS = 32
 
@@ -51,7 +53,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if seen <= rows else df
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, least: int = 10_000) -> list:
+def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, least: int = HOT_ROWS) -> list:
     """Keys with at least ``least`` rows and 1/``share`` of all rows; never more than ``share`` of them."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     top = counts.where(F.col("_n") >= least).orderBy(F.desc("_n"), key).limit(share).collect()

@@ -72,5 +72,8 @@ def test_components_against_brute_force(spark):
         for x in reach:
             reach[x] |= {z for y in reach[x] for z in reach.get(y, ())}
     want = {f"{x:02}": f"{min(y for y in reach[x] if x in reach[y]):02}" for x in reach if x in reach[x]}
-    assert {r["node"]: r["root_id"] for r in circles.components(df).collect()} == want
-    assert circles.components(df.limit(0)).collect() == []
+    for few in (0, 10, circles.FEW):
+        assert {r["node"]: r["root_id"] for r in circles.components(df, few).collect()} == want
+        assert circles.components(df.limit(0), few).collect() == []
+    chain = [f"{i:05}" for i in range(3000)]
+    assert circles.strong(chain, chain[1:] + chain[:1]) == dict.fromkeys(chain, "00000")
