@@ -39,17 +39,21 @@ def _found(rows: DataFrame, rule: str, severity: str, detail: Column, line: str
     return rows.select("doc_id", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), at.alias("line_no"), detail.cast("string").alias("detail")).where(F.col("detail").isNotNull())
 
 
-def section_terms(docs: DataFrame, rule: str, severity: str, kinds: list[str], terms: tuple[list[str], list[str]]) -> DataFrame:
-    """A term rule over the lines of sections."""
-    rows = specs.section_lines(docs).where(F.col("kind").isin(kinds))
-    return _found(rows, rule, severity, term_in(F.col("line"), terms), "line_no")
-
-
-def step_terms(docs: DataFrame, rule: str, severity: str, terms: tuple[list[str], list[str]], kinds: list[str] | None = None, english_first: bool = False) -> DataFrame:
-    """A term rule over the steps of scenarios."""
-    rows = specs.steps(docs)
-    rows = rows.where(F.col("kind").isin(kinds)) if kinds else rows
-    return _found(rows, rule, severity, term_in(F.col("step"), terms, english_first))
+def term_diagnostics(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The named term rules: one pass over the lines of sections for all that look there, one over the steps for the others."""
+    parts = []
+    for place, rows, x in (("section", lambda: specs.section_lines(docs), "line"), ("step", lambda: specs.steps(docs).withColumn("line_no", F.lit(None).cast("int")), "step")):
+        own = [n for n in names if TERM_RULES[n][0] == place]
+        if not own:
+            continue
+        found = []
+        for n in own:
+            _, severity, kinds, terms, english_first = TERM_RULES[n]
+            term = term_in(F.col(x), terms, english_first)
+            found.append(F.struct(F.lit(n).alias("rule"), F.lit(severity).alias("severity"), (F.when(F.col("kind").isin(kinds), term) if kinds else term).alias("detail")))
+        hits = rows().select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.explode(F.filter(F.array(*found), lambda f: f["detail"].isNotNull())).alias("_f"))
+        parts.append(hits.select("doc_id", "_f.rule", "_f.severity", "line_no", "_f.detail"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unbound_scenarios(docs: DataFrame) -> DataFrame:
@@ -115,14 +119,18 @@ def clause_rules(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "rule", F.lit("warning").alias("severity"), "line_no", F.col("clause").alias("detail"))
 
 
+#: Term rules: name -> (section or step, severity, kinds of sections or steps (none: all), terms, English first).
+TERM_RULES: dict[str, tuple] = {
+    "vague-verb": ("section", "warning", ["constraints", "intent"], VAGUE_VERBS, False),
+    "unquantified": ("section", "warning", ["constraints", "decisions"], UNQUANTIFIED, False),
+    "universal-claim": ("section", "warning", ["constraints", "decisions", "intent"], UNIVERSAL, False),
+    "testability": ("step", "warning", ["then", "and"], UNTESTABLE, False),
+    "determinism": ("step", "warning", [], NONDETERMINISTIC, False),
+    "bdd-implementation-detail": ("step", "info", [], UI_TERMS, True),
+}
+
 #: Extension point: name -> function from documents (doc_id, text) to diagnostics, in order of registration.
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "vague-verb": lambda d: section_terms(d, "vague-verb", "warning", ["constraints", "intent"], VAGUE_VERBS),
-    "unquantified": lambda d: section_terms(d, "unquantified", "warning", ["constraints", "decisions"], UNQUANTIFIED),
-    "testability": lambda d: step_terms(d, "testability", "warning", UNTESTABLE, ["then", "and"]),
-    "determinism": lambda d: step_terms(d, "determinism", "warning", NONDETERMINISTIC),
-    "bdd-implementation-detail": lambda d: step_terms(d, "bdd-implementation-detail", "info", UI_TERMS, english_first=True),
-    "universal-claim": lambda d: section_terms(d, "universal-claim", "warning", ["constraints", "decisions", "intent"], UNIVERSAL),
     "explicit-test-binding": unbound_scenarios,
     "scenario-presence": missing_scenarios,
     "error-path": no_error_path,
@@ -144,7 +152,10 @@ def register(name: str, rule: Callable[[DataFrame], DataFrame]) -> None:
 
 def lint(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Diagnostics of the named rules (all) over all documents."""
-    return reduce(DataFrame.unionByName, [RULES[n](docs) for n in (names or RULES)])
+    names = list(names or [*TERM_RULES, *RULES])
+    terms = [n for n in names if n in TERM_RULES]
+    parts = [term_diagnostics(docs, terms)] if terms else []
+    return reduce(DataFrame.unionByName, parts + [RULES[n](docs) for n in names if n not in TERM_RULES])
 
 
 def split_acknowledged(diagnostics: DataFrame, acks: DataFrame) -> DataFrame:
