@@ -10,7 +10,7 @@ from ravelin.operators import graph
 from ravelin.plans.problems import clean
 from ravelin.sources.tables import table
 
-QUERY = "resolve_dense"
+QUERY = "token"
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +120,7 @@ def sql() -> dict[str, str]:
         "graph_hops": _BASE + "SELECT from_id, to_id, kind, count(*) AS n, min(cost) AS cost FROM hops GROUP BY ALL",
         "graph_precedence": _BASE + ", m AS (SELECT *, resolution = 'resolved' AND NOT bounded AND kind IN ('calls', 'references') AS judged FROM hops) SELECT kind, provenance_rank, count(*) AS n FROM (SELECT *, max(provenance_rank) FILTER (judged) OVER (PARTITION BY from_id, to_id) AS best FROM m) WHERE NOT judged OR provenance_rank = best GROUP BY ALL",
         "graph_best_hops": _BASE + "SELECT from_id, to_id, kind, cost, edge_id FROM hops QUALIFY row_number() OVER (PARTITION BY from_id, to_id, kind ORDER BY cost, provenance_rank DESC, edge_id) = 1",
-        "graph_search": _BASE + f""", m AS (SELECT id, symbol, file, line_start, CASE WHEN id = '{QUERY}' THEN 600 WHEN symbol = '{QUERY}' THEN 500 WHEN lower(id) = '{QUERY}' OR lower(symbol) = '{QUERY}' THEN 400 WHEN ends_with(symbol, '::{QUERY}') THEN 300 WHEN string_split(symbol, '::')[-1] = '{QUERY}' THEN 200 WHEN contains(lower(regexp_replace(symbol, '[^A-Za-z0-9]', '', 'g')), replace('{QUERY}', '_', '')) THEN 100 END AS score FROM live)
+        "graph_search": _BASE + f""", m AS (SELECT id, symbol, file, line_start, CASE WHEN id = '{QUERY}' THEN 600 WHEN symbol = '{QUERY}' THEN 500 WHEN lower(id) = '{QUERY}' OR lower(symbol) = '{QUERY}' THEN 400 WHEN ends_with(symbol, '::{QUERY}') THEN 300 WHEN lower(string_split(symbol, '::')[-1]) = '{QUERY}' THEN 200 WHEN contains(lower(regexp_replace(symbol, '[^A-Za-z0-9]', '', 'g')), replace('{QUERY}', '_', '')) THEN 100 END AS score FROM live)
 SELECT * FROM m WHERE score IS NOT NULL ORDER BY score DESC, symbol, file, line_start NULLS FIRST, id LIMIT 200""",
         "graph_locate": _BASE + ", v AS (SELECT DISTINCT target_text AS value FROM edges WHERE target_text IS NOT NULL), e AS (SELECT DISTINCT value, id FROM v JOIN (SELECT id, id AS value FROM live UNION SELECT id, symbol FROM live) USING (value)), sfx AS (SELECT id, array_to_string(list_slice(p, i, len(p)), '::') AS value FROM (SELECT id, string_split(symbol, '::') AS p, unnest(range(2, len(string_split(symbol, '::')) + 1)) AS i FROM live)) SELECT value, id, true AS exact FROM e UNION ALL SELECT DISTINCT value, id, false FROM v JOIN sfx USING (value) WHERE value NOT IN (SELECT value FROM e)",
         "graph_resolve": _BASE + ", t AS (SELECT DISTINCT target_text FROM edges WHERE target_text IS NOT NULL), a AS (SELECT symbol AS target_text, min(id) AS w FROM live GROUP BY 1 HAVING count(DISTINCT id) = 1), b AS (SELECT string_split(symbol, '::')[-1] AS target_text, min(id) AS l FROM live GROUP BY 1 HAVING count(DISTINCT id) = 1), f AS (SELECT target_text, coalesce(w, CASE WHEN NOT contains(target_text, '::') THEN l END) AS id FROM t LEFT JOIN a USING (target_text) LEFT JOIN b USING (target_text)) SELECT target_text, CASE WHEN id IS NOT NULL THEN 'resolved' WHEN regexp_matches(target_text, '^(std|core|alloc)::') THEN 'external' ELSE 'unresolved' END AS resolution, id FROM f",
