@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import text as T
 from ravelin.functions.ids import clean_id
 from ravelin.operators.eager import edge_targets
-from ravelin.session import cut
+from ravelin.session import cut, salted_join
 from ravelin.sources.tables import earliest
 
 #: Kinds that lead back from a change to what depends on it (fixed values).
@@ -129,12 +129,30 @@ def flow_pairs(rows: DataFrame, middle: DataFrame) -> DataFrame:
     return ways.select("from_id", "through", "to_id", (F.col("_a") + F.col("_b")).alias("cost"))
 
 
+def flow_counts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """(through, cost, n): how many of :func:`flow_pairs` lead over each of the given nodes (column id), by cost.
+
+    Ways are a product of counts per cost less those that return to where
+    they came from, so no pair of a heavy node is listed.
+    """
+    side = lambda through, end, a, b: F.struct(F.col(through).alias("through"), F.col(end).alias("end"), a.cast("int").alias("_a"), b.cast("int").alias("_b"))
+    both = F.explode(F.array(side("to_id", "from_id", F.col("cost"), F.lit(None)), side("from_id", "to_id", F.lit(None), F.col("cost"))))
+    ends = rows.where(F.col("from_id") != F.col("to_id")).select(both.alias("_e")).select("_e.*").groupBy("through", "end").agg(F.min("_a").alias("_a"), F.min("_b").alias("_b"))
+    ends = cut(ends.groupBy("through", "_a", "_b").agg(F.count("*").alias("n")))
+    n_in = ends.where(F.col("_a").isNotNull()).groupBy("through", "_a").agg(F.sum("n").alias("_i"))
+    n_out = ends.where(F.col("_b").isNotNull()).groupBy("through", "_b").agg(F.sum("n").alias("_o"))
+    returns = ends.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select("through", "_a", "_b", (-F.col("n")).alias("n"))
+    ways = n_in.join(n_out, "through").select("through", "_a", "_b", (F.col("_i") * F.col("_o")).alias("n")).unionByName(returns)
+    counts = ways.groupBy("through", (F.col("_a") + F.col("_b")).alias("cost")).agg(F.sum("n").alias("n")).where("n > 0")
+    return counts.join(middle.select(F.col("id").alias("through")).distinct(), "through", "left_semi")
+
+
 def simple_paths(rows: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start_id, node_id, depth, cost, path): all ways of up to ``depth`` hops that visit no node twice.
 
     ``starts`` (column id) should be few: ways may be exponentially many.
     """
-    step = rows.groupBy("from_id", "to_id").agg(F.min("cost").alias("_c"))
+    step = cut(rows.groupBy("from_id", "to_id").agg(F.min("cost").alias("_c")))
     level = starts.select(F.col("id").alias("start_id"), F.col("id").alias("node_id"), F.lit(0).alias("depth"), F.lit(0).alias("cost"), F.array("id").alias("path")).distinct()
     out = level.limit(0)
     for _ in range(depth):
@@ -173,8 +191,8 @@ def impact(rows: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
 
     Seeds themselves are left out.  A node keeps its smallest distance.
     """
-    contains = cut(rows.where(F.col("kind") == "contains").select("from_id", "to_id").distinct())
-    back = cut(rows.where(F.col("kind").isin(DEPENDENCY_KINDS)).select("from_id", "to_id").distinct())
+    links = cut(rows.where(F.col("kind").isin("contains", *DEPENDENCY_KINDS)).select("from_id", "to_id", (F.col("kind") == "contains").alias("inside")).distinct())
+    contains, back = (links.where(F.col("inside") == x).select("from_id", "to_id") for x in (True, False))
     start = seeds.select("id").distinct()
     layer = closure_down(start, contains)
     settled = layer.select("id", F.lit(0).alias("distance"))
@@ -193,8 +211,8 @@ def affected(rows: DataFrame, nodes: DataFrame, files: DataFrame, depth: int = 3
 
 def references_of(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Distinct incoming calls and references of the targets (column id)."""
-    wanted = rows.where(F.col("kind").isin("calls", "references"))
-    return wanted.join(targets.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id", "kind").distinct()
+    wanted = rows.where(F.col("kind").isin("calls", "references")).select("from_id", "to_id", "kind").distinct()
+    return wanted.join(targets.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
 
 
 def implementations(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -231,6 +249,20 @@ def change_frontier(rows: DataFrame, nodes: DataFrame, changed: DataFrame, most:
     return out
 
 
+def change_frontiers(rows: DataFrame, nodes: DataFrame, most: int = 2048) -> DataFrame:
+    """(changed, file, reason): :func:`change_frontier` of every file, each changed by itself."""
+    place = cut(nodes.where(F.col("file").isNotNull()).select("id", "file"))
+    links = cut(rows.select("from_id", "to_id"))
+    users = cut(salted_join(links, place.withColumnRenamed("id", "from_id"), "from_id", "inner", F.col("to_id")).select("to_id", "file"))
+    targets = place.select(F.col("id").alias("to_id"), F.col("file").alias("changed"))
+    near = cut(salted_join(users, targets, "to_id", "inner", F.col("file")).where(F.col("changed") != F.col("file")).select("changed", "file").distinct())
+    large = cut(near.groupBy("changed").agg(F.count("*").alias("_n")).where(F.col("_n") + 1 > most).select("changed"))
+    files = place.select("file").distinct()
+    own = files.select(F.col("file").alias("changed"), "file", F.lit("changed").alias("reason"))
+    fitting = own.unionByName(near.withColumn("reason", F.lit("refers"))).join(large, "changed", "left_anti")
+    return fitting.unionByName(large.crossJoin(files).withColumn("reason", F.lit("frontier too large")))
+
+
 def stale_files(recorded: DataFrame, present: DataFrame) -> DataFrame:
     """(file, state): files whose recorded and present digest differ; a missing side counts as different."""
     joined = recorded.select("file", F.col("hash").alias("_a"), F.lit(True).alias("_r")).join(present.select("file", F.col("hash").alias("_b"), F.lit(True).alias("_p")), "file", "full")

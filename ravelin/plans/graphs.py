@@ -31,6 +31,11 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return nodes.join(_first_file(nodes), "file", "left_semi").select("id")
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The query set over the whole graph: every node whose hashed id is divisible by 20."""
+    return _nodes(spark, d).where(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("int") % 20 == 0).select("id")
+
+
 def node_precedence(spark, d):
     return graph.preferred(_hops(spark, d)).groupBy("kind", "provenance_rank").agg(F.count("*").alias("n"))
 
@@ -58,6 +63,11 @@ def simple_paths(spark, d):
     return graph.bounded_paths(rows, 3).select("start_id", "node_id", "depth", "cost", F.array_join("path", " > ").alias("path"))
 
 
+def simple_paths_all(spark, d):
+    rows = graph.simple_paths(_hops(spark, d), _asked(spark, d), 2)
+    return graph.bounded_paths(rows, 3).select("start_id", "node_id", "depth", "cost", F.array_join("path", " > ").alias("path"))
+
+
 def frontier(spark, d):
     nodes = _nodes(spark, d)
     return graph.change_frontier(_hops(spark, d), nodes, _first_file(nodes))
@@ -92,6 +102,11 @@ NAMED = {
     "graph_implementations": lambda spark, d: graph.implementations(_hops(spark, d), _nodes(spark, d)),
     "graph_outline": lambda spark, d: graph.outline(_hops(spark, d), _nodes(spark, d)),
     "graph_change_frontier": frontier,
+    "graph_flow_counts": lambda spark, d: graph.flow_counts(_hops(spark, d), _nodes(spark, d)).withColumn("cost", F.col("cost").cast("int")),
+    "graph_references_all": lambda spark, d: graph.references_of(_hops(spark, d), _nodes(spark, d)),
+    "graph_impact_all": lambda spark, d: graph.impact(_hops(spark, d), _asked(spark, d), 3),
+    "graph_simple_paths_all": simple_paths_all,
+    "graph_change_frontier_all": lambda spark, d: graph.change_frontiers(_hops(spark, d), _nodes(spark, d)),
     "graph_stale_files": stale,
     "graph_layers": requirement_layers,
 }
@@ -114,7 +129,29 @@ _REC = "WITH RECURSIVE " + _BASE[5:]
 _DEP = "('calls', 'references', 'uses-type', 'impls-trait', 'impl-for')"
 
 
+#: Seeds of the queries over one file, and of those over the whole graph.
+_ONE_FILE = "file = (SELECT min(file) FROM live)"
+_ASKED = "CAST('0x' || substr(md5(id), 1, 6) AS INTEGER) % 20 = 0"
+
+
+def _whole() -> dict[str, str]:
+    """SQL of the queries over the whole graph."""
+    one = _one_file()
+    over = lambda name, seeds: one[name].replace(f"seeds AS (SELECT id FROM live WHERE {_ONE_FILE})", f"seeds AS (SELECT id FROM live WHERE {seeds})")
+    return {
+        "graph_flow_counts": _BASE + "SELECT through, cost, count(*) AS n FROM (SELECT a.from_id, a.to_id AS through, b.to_id, min(a.cost) + min(b.cost) AS cost FROM hops a JOIN hops b ON b.from_id = a.to_id WHERE a.to_id IN (SELECT id FROM live) AND a.from_id <> b.to_id AND a.from_id <> a.to_id AND b.to_id <> a.to_id GROUP BY ALL) GROUP BY ALL",
+        "graph_references_all": over("graph_references", "true"),
+        "graph_impact_all": over("graph_impact", _ASKED),
+        "graph_simple_paths_all": over("graph_simple_paths", _ASKED),
+        "graph_change_frontier_all": _BASE + ", f AS (SELECT DISTINCT file FROM live WHERE file IS NOT NULL), n AS (SELECT DISTINCT t.file AS changed, u.file FROM hops JOIN live t ON t.id = to_id JOIN live u ON u.id = from_id WHERE t.file <> u.file), big AS (SELECT changed FROM n GROUP BY 1 HAVING count(*) + 1 > 2048) SELECT * FROM (SELECT file AS changed, file, 'changed' AS reason FROM f UNION ALL SELECT changed, file, 'refers' FROM n) WHERE changed NOT IN (SELECT changed FROM big) UNION ALL SELECT changed, file, 'frontier too large' FROM big, f",
+    }
+
+
 def sql() -> dict[str, str]:
+    return _one_file() | _whole()
+
+
+def _one_file() -> dict[str, str]:
     return {
         "graph_current_nodes": _BASE + "SELECT * FROM live",
         "graph_hops": _BASE + "SELECT from_id, to_id, kind, count(*) AS n, min(cost) AS cost FROM hops GROUP BY ALL",

@@ -56,10 +56,10 @@ def stale_articles(spark, d):
     return I.stale_articles(articles, changes)
 
 
-def intent_impact(spark, d):
-    hops, nodes = _graph(spark, d)
-    seeds = graphs._seeds(spark, d)
-    reached = G.impact(hops, seeds, 1).select("id").unionByName(seeds)
+def intent_impact(spark, d, seeds=graphs._seeds, depth: int = 1):
+    hops = _graph(spark, d)[0]
+    seeds = seeds(spark, d)
+    reached = G.impact(hops, seeds, depth).select("id").unionByName(seeds)
     return I.intent_impact(reached, *(table(spark, d, t) for t in ("code_bindings", "work_units", "spec_nodes")))
 
 
@@ -71,6 +71,7 @@ NAMED = {
     "text_ranking": text_ranking,
     "stale_articles": stale_articles,
     "intent_impact": intent_impact,
+    "intent_impact_all": lambda spark, d: intent_impact(spark, d, graphs._asked),
     "test_obligations": lambda spark, d: I.test_obligations(specs.scenarios(documents._docs(spark, d))),
 }
 
@@ -103,6 +104,11 @@ c AS (SELECT id, 'named-symbol' AS class, s AS score, s >= 550 AS required, CASE
 
 
 def sql() -> dict[str, str]:
+    fixed = _fixed()
+    return fixed | {"intent_impact_all": fixed["intent_impact"].replace(graphs._ONE_FILE, graphs._ASKED)}
+
+
+def _fixed() -> dict[str, str]:
     order = ", ".join(f"'{x}'" for x in C.CLASS_ORDER)
     return {
         "context_candidates": _CAND + "SELECT * FROM c",
