@@ -15,6 +15,8 @@ from ravelin.session import cut
 # Words for relations, and the order of evidence classes for a question about a symbol.
 RELATION_WORDS = {"calls": "calls", "call": "calls", "callers": "callers", "caller": "callers", "callees": "callees", "callee": "callees", "references": "references", "reference": "references", "refs": "references", "uses-type": "uses-type", "implements": "implements", "impl": "implements", "contains": "contains", "containment": "contains"}
 CLASS_ORDER = ["named-symbol", "failure-evidence", "primary-spine", "boundary-site", "unique-implementation", "representative-implementation", "relationship", "adjacent-structure", "impact-path", "alternative-path", "off-spine-sibling"]
+#: How far impact is followed.
+IMPACT_DEPTH = 3
 LEAST_BYTES, MOST_BYTES = 1024, 1_000_000
 
 
@@ -57,7 +59,7 @@ def _evidence(rows: DataFrame, kind: str, score, required: bool, reason: str) ->
     return rows.select("id", F.lit(kind).alias("class"), score.cast("int").alias("score"), F.lit(required).alias("required"), F.array(F.lit(reason)).alias("reasons"))
 
 
-def candidates(hops: DataFrame, nodes: DataFrame, asked: Intent, depth: int = 2) -> DataFrame:
+def candidates(hops: DataFrame, nodes: DataFrame, asked: Intent, depth: int = IMPACT_DEPTH) -> DataFrame:
     """(id, class, score, required, reasons): named symbols, their implementations, neighbours and what depends on them.
 
     Each (id, class) comes once, with its best score and all reasons.  A name

@@ -20,19 +20,19 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return G.hops(table(spark, d, "edges")), G.current_nodes(table(spark, d, "nodes"), table(spark, d, "shared_nodes"))
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, depth):
     hops, nodes = _graph(spark, d)
-    return C.candidates(hops, nodes, C.intent(QUESTION), 1)
+    return C.candidates(hops, nodes, C.intent(QUESTION), depth)
 
 
-def evidence(spark, d):
-    return _candidates(spark, d).withColumn("reasons", F.array_join("reasons", "|"))
+def evidence(spark, d, depth: int = 1):
+    return _candidates(spark, d, depth).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-def projection(spark, d):
+def projection(spark, d, depth: int = 1):
     nodes = _graph(spark, d)[1]
     sizes = nodes.select("id", (F.octet_length("id") + F.octet_length("symbol")).alias("bytes"))
-    rows = C.project(_candidates(spark, d), sizes, 8000, 400)
+    rows = C.project(_candidates(spark, d, depth), sizes, 8000, 400)
     return rows.groupBy("class", "state").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
@@ -66,12 +66,14 @@ def intent_impact(spark, d, seeds=graphs._seeds, depth: int = 1):
 NAMED = {
     "context_candidates": evidence,
     "context_projection": projection,
+    "context_candidates_deep": lambda spark, d: evidence(spark, d, C.IMPACT_DEPTH),
+    "context_projection_deep": lambda spark, d: projection(spark, d, C.IMPACT_DEPTH),
     "module_inventory": modules,
     "module_edges": module_edges,
     "text_ranking": text_ranking,
     "stale_articles": stale_articles,
     "intent_impact": intent_impact,
-    "intent_impact_all": lambda spark, d: intent_impact(spark, d, graphs._asked),
+    "intent_impact_all": lambda spark, d: intent_impact(spark, d, graphs._asked, C.IMPACT_DEPTH),
     "test_obligations": lambda spark, d: I.test_obligations(specs.scenarios(documents._docs(spark, d))),
 }
 
@@ -105,7 +107,8 @@ c AS (SELECT id, 'named-symbol' AS class, s AS score, s >= 550 AS required, CASE
 
 def sql() -> dict[str, str]:
     fixed = _fixed()
-    return fixed | {"intent_impact_all": fixed["intent_impact"].replace(graphs._ONE_FILE, graphs._ASKED)}
+    deep = lambda name: fixed[name].replace("w.distance < 1", f"w.distance < {C.IMPACT_DEPTH}")
+    return fixed | {"intent_impact_all": deep("intent_impact").replace(graphs._ONE_FILE, graphs._ASKED), "context_candidates_deep": deep("context_candidates"), "context_projection_deep": deep("context_projection")}
 
 
 def _fixed() -> dict[str, str]:
