@@ -52,9 +52,10 @@ def eager_join(left: DataFrame, right: DataFrame, on: list[str], left_groups: li
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
-    """One row per edge_id with what the degrees need; a redelivered edge counts from its earliest arrival."""
+    """(edge_id, from_id, kind, targets) per edge_id: what the degrees need; a redelivered edge counts from its earliest arrival."""
     rows = edges.select("edge_id", "arrived_at", clean_id("from_id").alias("from_id"), clean_id("to_id").alias("to_id"), "resolution", "kind", "candidates")
-    return earliest(rows, "edge_id", ["edge_id", "from_id", "to_id", "resolution", "kind", "candidates"])
+    rows = rows.select("edge_id", "arrived_at", "from_id", "kind", edge_targets().alias("targets"))
+    return earliest(rows, "edge_id", ["edge_id", "from_id", "kind", "targets"])
 
 
 def edge_targets() -> Column:
@@ -66,46 +67,58 @@ def edge_targets() -> Column:
     return F.when(unresolved & some, candidates).when(unresolved | (F.col("resolution") == "resolved"), to).otherwise(F.array().cast("array<string>"))
 
 
-def degree_states(edges: DataFrame) -> DataFrame:
-    """Compact states (direction, node_id, kind, n): distinct edges per node, direction and kind.
+def list_states(edges: DataFrame) -> DataFrame:
+    """Compact states (direction, ids, kind, n): distinct edges per list of end nodes, counted before any list meets its nodes.
 
-    The row with direction ``edges`` and no node holds the number E of
-    distinct edges.  Null or blank node ids are no keys; an edge without
-    edge_id isn't counted; a null kind is a kind of its own.  The states are
-    written to the checkpoint folder, as every later step starts from them.
+    The row with direction ``edges`` holds the number E of distinct edges per
+    kind.  Null or blank node ids are no keys; an edge without edge_id isn't
+    counted; a null kind is a kind of its own.
     """
-    entry = lambda direction, node: F.struct(F.lit(direction).alias("direction"), node.alias("node_id"))
-    outgoing = F.when(F.col("from_id").isNotNull(), F.array(entry(OUTGOING, F.col("from_id")))).otherwise(F.array().cast("array<struct<direction:string,node_id:string>>"))
-    incoming = F.transform(edge_targets(), lambda x: entry(INCOMING, x))
-    every = F.array(entry(ALL_EDGES, F.lit(None).cast("string")))
-    entries = distinct_edges(edges).select("kind", F.explode(F.concat(every, outgoing, incoming)).alias("_e")).select("_e.*", "kind")
-    return cut(entries.groupBy("direction", "node_id", "kind").agg(F.count("*").alias("n")))
+    entry = lambda direction, ids: F.struct(F.lit(direction).alias("direction"), ids.alias("ids"))
+    every = F.array(entry(ALL_EDGES, F.array().cast("array<string>")), entry(OUTGOING, F.array("from_id")), entry(INCOMING, F.col("targets")))
+    lists = distinct_edges(edges).select("kind", F.explode(every).alias("_e")).select("_e.*", "kind")
+    named = lists.where((F.col("direction") == ALL_EDGES) | ((F.size("ids") > 0) & F.get("ids", F.lit(0)).isNotNull()))
+    return cut(named.groupBy("direction", "ids", "kind").agg(F.count("*").alias("n")))
 
 
-def node_degrees(states: DataFrame) -> DataFrame:
+def degree_states(states: DataFrame, by_kind: bool = True) -> DataFrame:
+    """(direction, node_id[, kind], n) from :func:`list_states`: the eager join of edges with the nodes of their lists, rolled up.
+
+    A list of one node is that node's own state.  Lists of several, already
+    counted per list, meet their members in an eager join: the edges of a list
+    count once for each member, as a product of states.
+    """
+    kind = ["kind"] if by_kind else []
+    ends = states.where(F.col("direction") != ALL_EDGES)
+    single = ends.where(F.size("ids") == 1).select("direction", F.get("ids", F.lit(0)).alias("node_id"), *kind, "n")
+    several = ends.where(F.size("ids") > 1)
+    members = several.select("ids").distinct().select("ids", F.explode("ids").alias("node_id"))
+    met = eager_join(several, members, ["ids"], ["direction", *kind], ["node_id"], ["n"]).select("direction", "node_id", *kind, F.col("sum_n").alias("n"))
+    return single.unionByName(met).groupBy("direction", "node_id", *kind).agg(F.sum("n").alias("n"))
+
+
+def node_degrees(edges: DataFrame) -> DataFrame:
     """(node_id, n_in, n_out, through) for every node with an edge, ``through`` being the two-hop paths over it.
 
     Both adjacency lists are aggregated by node before they meet, so the
     n_in * n_out paths over a heavy node are a product and never rows.
     """
-    side = lambda d, name: states.where(F.col("direction") == d).groupBy("node_id").agg(F.sum("n").alias(name))
-    joined = side(INCOMING, "n_in").join(side(OUTGOING, "n_out"), "node_id", "full")
-    n_in, n_out = F.coalesce("n_in", F.lit(0)), F.coalesce("n_out", F.lit(0))
-    return joined.select("node_id", n_in.alias("n_in"), n_out.alias("n_out"), (n_in * n_out).alias("through"))
+    degrees = degree_states(list_states(edges), by_kind=False)
+    side = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("n"))), F.lit(0))
+    both = degrees.groupBy("node_id").agg(side(INCOMING).alias("n_in"), side(OUTGOING).alias("n_out"))
+    return both.withColumn("through", F.col("n_in") * F.col("n_out"))
 
 
 def heavy_nodes(edges: DataFrame, share: int = 100) -> DataFrame:
     """(node_id, direction) with at least E / ``share`` edges, E being all distinct edges; no edges, no rows."""
-    states = degree_states(edges)
+    states = list_states(edges)
     total = states.where(F.col("direction") == ALL_EDGES).agg(F.sum("n")).first()[0] or 0
-    degrees = node_degrees(states)
-    long = degrees.select("node_id", F.explode(F.array(F.struct(F.lit(INCOMING).alias("direction"), F.col("n_in").alias("n")), F.struct(F.lit(OUTGOING).alias("direction"), F.col("n_out").alias("n")))).alias("_d")).select("node_id", "_d.*")
-    return long.where((F.col("n") > 0) & (F.col("n") * share >= total)).select("node_id", "direction")
+    return degree_states(states, by_kind=False).where(F.col("n") * share >= total).select("node_id", "direction")
 
 
 def degrees_by_kind(edges: DataFrame) -> DataFrame:
     """(node_id, direction, kind, n_edges): the full lists' lengths, split by kind."""
-    return degree_states(edges).where(F.col("direction") != ALL_EDGES).select("node_id", "direction", "kind", F.col("n").alias("n_edges"))
+    return degree_states(list_states(edges)).select("node_id", "direction", "kind", F.col("n").alias("n_edges"))
 
 
 def file_traffic(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -113,6 +126,6 @@ def file_traffic(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A node counts in each distinct file its rows name; targets that are no node count under a null file.
     """
-    targets = distinct_edges(edges).select("kind", F.explode(edge_targets()).alias("node_id"))
+    targets = distinct_edges(edges).select("kind", F.explode("targets").alias("node_id"))
     places = nodes.select(clean_id("id").alias("node_id"), "file").distinct()
     return eager_join(targets, places, ["node_id"], ["kind"], ["file"], outer=True).select("file", "kind", F.col("pairs").alias("n_edges"))

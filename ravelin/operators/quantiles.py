@@ -11,7 +11,7 @@ summed up value by value.  No task ever holds a group's rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Values are cut into ranges of this many (a power of two).
@@ -43,6 +43,16 @@ def combine(state: DataFrame, groups: list[str]) -> DataFrame:
     return state.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
 
 
+def store(state: DataFrame, path: str, part: str) -> None:
+    """Writes a state as one part of a stored table; the same part written again replaces itself."""
+    state.write.mode("overwrite").parquet(f"{path}/part={part}")
+
+
+def stored(spark: SparkSession, path: str, groups: list[str]) -> DataFrame:
+    """All parts of a stored table as one state."""
+    return combine(spark.read.parquet(path), groups)
+
+
 def percentiles(state: DataFrame, groups: list[str], quantiles: list[float]) -> DataFrame:
     """(groups, q, total, value): the smallest value with at least ceil(q * total) values up to it.
 

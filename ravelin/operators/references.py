@@ -54,22 +54,45 @@ def existence_deltas(rows: DataFrame, target: str, requirement: bool, deletions:
     return out.where(F.col("ref_id").isNotNull() & F.col("period").isNotNull())
 
 
-def orphan_states(refs: DataFrame, deltas: DataFrame) -> DataFrame:
-    """(target, ref_id, period, n_refs, there): state of every referenced key at the end of each month that names it."""
+def reference_state(refs: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The maintained state (target, ref_id, period, refs, there): signed changes of both counts, added up per key and month."""
     counted = refs.select("target", "ref_id", "period", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("there"))
     changed = deltas.select("target", "ref_id", "period", F.lit(0).cast("long").alias("refs"), "there")
-    states = counted.unionByName(changed).groupBy("target", "ref_id", "period").agg(F.sum("refs").alias("n_refs"), F.sum("there").alias("_change"))
+    return _summed(counted.unionByName(changed))
+
+
+def _summed(states: DataFrame) -> DataFrame:
+    return states.groupBy("target", "ref_id", "period").agg(F.sum("refs").alias("refs"), F.sum("there").alias("there"))
+
+
+def maintained(state: DataFrame, known: DataFrame, refs: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, known references) after a delivery: only the new rows are counted and added to what is stored.
+
+    ``known`` holds the references counted so far (REFERENCE_COLUMNS), so that
+    a redelivered one counts once; existence changes are per delivered row.
+    """
+    new = refs.join(known, REFERENCE_COLUMNS, "left_anti")
+    return _summed(state.unionByName(reference_state(new, deltas))), known.unionByName(new)
+
+
+def report(state: DataFrame) -> DataFrame:
+    """(target, ref_id, period, n_refs, there) from a state: every referenced key at the end of each month that names it."""
     running = Window.partitionBy("target", "ref_id").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    return states.withColumn("there", F.sum("_change").over(running)).where(F.col("n_refs") > 0).drop("_change")
+    return state.withColumn("there", F.sum("there").over(running)).where(F.col("refs") > 0).withColumnRenamed("refs", "n_refs")
+
+
+def orphan_states(refs: DataFrame, deltas: DataFrame) -> DataFrame:
+    """:func:`report` of references and existence changes that were never stored."""
+    return report(reference_state(refs, deltas))
 
 
 def orphans(refs: DataFrame, deltas: DataFrame) -> DataFrame:
     """The rows of ``refs`` whose key has no row of its target at the end of their period."""
     states = cut(orphan_states(refs, deltas).where(F.col("there") <= 0))
     key = F.concat_ws("\x1f", "target", "ref_id", "period")
-    heavy = states.where(F.col("n_refs") >= 10_000).select(key.alias("k"), "n_refs").orderBy(F.desc("n_refs"), "k").limit(HOT_SHARE).collect()
-    keyed, hot = states.select(key.alias("_key")), [r["k"] for r in heavy]
-    return salted_join(refs.withColumn("_key", key), keyed, "_key", "left_semi", F.struct("src_table", "src_id"), hot).drop("_key")
+    total = states.agg(F.sum("n_refs")).first()[0] or 0
+    hot = [r["k"] for r in states.where(F.col("n_refs") * HOT_SHARE >= total).select(key.alias("k")).collect()]  # HOT_SHARE at most
+    return salted_join(refs.withColumn("_key", key), states.select(key.alias("_key")), "_key", "left_semi", F.struct("src_table", "src_id"), hot).drop("_key")
 
 
 def all_references(work_units: DataFrame, spec_nodes: DataFrame, code_bindings: DataFrame) -> DataFrame:

@@ -108,21 +108,25 @@ def latest_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def byte_budget(rows: DataFrame, group: str, order: str, bytes_: str, budget: int, required: str) -> DataFrame:
-    """``rows`` with ``kept``: required ones always, others in ``order`` (unique in a group) while they fit the budget with all before them.
+    """``rows`` with ``kept``: required ones always, others in ``order`` (unique in a group, not null) while they fit the budget with all before them.
 
-    A row can only be kept if it fits within a SALTS-th of its group, too.
-    So sums run over parts of a group first; what is left of each part, up to
-    its first row beyond the budget, is short and summed up per group.
+    A null group is a group of its own; null bytes count nothing.  A row can
+    only be kept if it fits within a SALTS-th of its group, too.  So sums run
+    over parts of a group first; what is left of each part, up to its first
+    row beyond the budget, is short and summed up per group.
     """
     salt = F.pmod(F.xxhash64(order), F.lit(SALTS))
-    must = F.coalesce(F.col(required), F.lit(False))
-    base = rows.where(must).groupBy(group).agg(F.sum(bytes_).alias("_base"))
-    free = rows.where(~must).select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(bytes_).alias("_n"), salt.alias("_s"))
+    must, size = F.coalesce(F.col(required), F.lit(False)), F.coalesce(F.col(bytes_), F.lit(0))
+    # a null group's number is 1, all others' 0, and its name is empty
+    key = [F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g"), F.col(group).isNull().cast("int").alias("_z")]
+    base = rows.where(must).groupBy(*key).agg(F.sum(size).alias("_base"))
+    free = rows.where(~must).select(*key, F.col(order).alias("_o"), size.alias("_n"), salt.alias("_s"))
     upto = lambda *k: Window.partitionBy(*k).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    near = free.withColumn("_u", F.sum("_n").over(upto("_g", "_s"))).where(F.col("_u") - F.col("_n") <= budget)
-    summed = near.withColumn("_u", F.sum("_n").over(upto("_g"))).join(base.withColumnRenamed(group, "_g"), "_g", "left")
-    fit = summed.where(F.col("_u") + F.coalesce("_base", F.lit(0)) <= budget).select(F.col("_g").alias(group), F.col("_o").alias(order), F.lit(True).alias("_fit"))
-    return rows.join(fit, [group, order], "left").withColumn("kept", must | F.coalesce("_fit", F.lit(False))).drop("_fit")
+    near = free.withColumn("_u", F.sum("_n").over(upto("_g", "_z", "_s"))).where(F.col("_u") - F.col("_n") <= budget)
+    summed = near.withColumn("_u", F.sum("_n").over(upto("_g", "_z"))).join(base, ["_g", "_z"], "left")
+    fit = summed.where(F.col("_u") + F.coalesce("_base", F.lit(0)) <= budget).select("_g", "_z", F.col("_o").alias("_order"), F.lit(True).alias("_fit"))
+    met = rows.select("*", *key, F.col(order).alias("_order")).join(fit, ["_g", "_z", "_order"], "left")
+    return met.select(*rows.columns, (must | F.coalesce("_fit", F.lit(False))).alias("kept"))
 
 
 def page_after(rows: DataFrame, order: list[str], cursor: Column, size: int) -> DataFrame:

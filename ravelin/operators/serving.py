@@ -35,7 +35,11 @@ def wide(rows: DataFrame, keys: list[str], error: float) -> DataFrame:
 
 def percentiles_per(runs: DataFrame, period: str = "day", bits: int | None = None) -> DataFrame:
     """Percentiles per mode, metric and period (day, week from Monday, month), from combined daily states."""
-    states = daily_states(runs, bits)
+    return percentiles_of(daily_states(runs, bits), period, bits)
+
+
+def percentiles_of(states: DataFrame, period: str, bits: int | None = None) -> DataFrame:
+    """:func:`percentiles_per` from daily states, stored or not."""
     if period != "day":
         start = F.to_date(F.date_trunc(period, F.col("day").cast("timestamp_ntz")))
         states = combine(states.withColumn("day", start), ["serving_mode", "day", "metric"])

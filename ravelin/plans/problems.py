@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.functions.ids import clean_requirement_id
-from ravelin.operators import circles, eager, hierarchy, references, serving, shred
+from ravelin.functions.ids import clean_id, clean_requirement_id
+from ravelin.operators import circles, eager, hierarchy, quantiles, references, serving, shred
+from ravelin.session import cut, scratch_table
 from ravelin.sources.tables import table
 
 
@@ -19,7 +20,7 @@ def p1_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_through(spark: SparkSession, d: str) -> DataFrame:
-    return eager.node_degrees(eager.degree_states(table(spark, d, "edges")))
+    return eager.node_degrees(table(spark, d, "edges"))
 
 
 def p1_file_traffic(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +30,7 @@ def p1_file_traffic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.objects(shred.shred(table(spark, d, "receipt_records"))).select("record_id", "node_path").distinct()
+    return shred.objects(shred.shred(table(spark, d, "receipt_records"), markers=True)).select("record_id", "node_path").distinct()
 
 
 def _flat(name: str):
@@ -39,6 +40,10 @@ def _flat(name: str):
     return query
 
 
+def _values(name: str):
+    return lambda spark, d: shred.value_list(shred.shred(table(spark, d, "receipt_records")), name)
+
+
 def _serving(period: str, bits: int | None = None):
     def query(spark: SparkSession, d: str) -> DataFrame:
         return serving.percentiles_per(table(spark, d, "serving_runs"), period, bits)
@@ -46,9 +51,31 @@ def _serving(period: str, bits: int | None = None):
     return query
 
 
-def _reference_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    refs = references.all_references(*(table(spark, d, t) for t in ("work_units", "spec_nodes", "code_bindings")))
-    return refs, references.all_existence(*(table(spark, d, t) for t in ("requirements", "nodes", "shared_nodes")))
+def p3_monthly_stored(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`p3_monthly` from a stored table to which two parts of the runs (by request) are added one after the other."""
+    runs, path = table(spark, d, "serving_runs"), scratch_table(spark, "serving")
+    part = F.pmod(F.xxhash64(clean_id("request_id")), F.lit(2))
+    for i in (0, 1):
+        quantiles.store(serving.daily_states(runs.where(part == i)), path, str(i))
+    return serving.percentiles_of(quantiles.stored(spark, path, ["serving_mode", "day", "metric"]), "month")
+
+
+#: Rows that arrive from here on are the second delivery of p4_keys.
+SECOND = "2026-04-01 00:00:00 UTC"
+
+
+def _reference_inputs(spark: SparkSession, d: str, which=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    refs = references.all_references(*(which(table(spark, d, t)) for t in ("work_units", "spec_nodes", "code_bindings")))
+    return refs, references.all_existence(*(which(table(spark, d, t)) for t in ("requirements", "nodes", "shared_nodes")))
+
+
+def p4_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Missing keys and how often each is named per month, from a stored state to which a second delivery is added."""
+    late = F.coalesce(F.col("arrived_at") >= F.expr(f"timestamp '{SECOND}'"), F.lit(True))
+    refs, deltas = _reference_inputs(spark, d, lambda df: df.where(~late))
+    state, known = cut(references.reference_state(refs, deltas)), cut(refs)
+    state, _ = references.maintained(state, known, *_reference_inputs(spark, d, lambda df: df.where(late)))
+    return references.report(state).where(F.col("there") <= 0).select("target", "ref_id", "period", "n_refs")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,18 +100,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.tree_paths(table(spark, d, "plan_edges")).drop("preorder")
+    """Path, root, depth and preorder number of every requirement of a tree."""
+    return hierarchy.tree_paths(table(spark, d, "plan_edges"))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.tree_descendants(table(spark, d, "plan_edges"))
+    """The descendants of every requirement as an interval of preorder numbers within its root's tree."""
+    return hierarchy.tree_intervals(table(spark, d, "plan_edges"))
 
 
 def queries() -> dict:
     out = {"p1_found": p1_found, "p1_degrees": p1_degrees, "p1_through": p1_through, "p1_file_traffic": p1_file_traffic, "p2_found": p2_found}
     out |= {f"p2_{name}": _flat(name) for name in shred.TABLES}
-    out |= {"p3_daily": _serving("day"), "p3_weekly": _serving("week"), "p3_monthly": _serving("month"), "p3_monthly_bounded": _serving("month", 8)}
-    out |= {"p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
+    out |= {f"p2_{name}": _values(name) for name in shred.VALUE_LISTS}
+    out |= {"p3_daily": _serving("day"), "p3_weekly": _serving("week"), "p3_monthly": _serving("month"), "p3_monthly_bounded": _serving("month", 8), "p3_monthly_stored": p3_monthly_stored}
+    out |= {"p4_found": p4_found, "p4_counts": p4_counts, "p4_keys": p4_keys, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
     return out
 
 
@@ -141,6 +171,14 @@ tops AS (SELECT node FROM ids WHERE node NOT IN (SELECT node FROM links)),
 _TREE = """tree AS (SELECT node AS node_id, node AS root_id, 0 AS depth, node AS path FROM tops
   UNION ALL SELECT l.node, t.root_id, t.depth + 1, t.path || ' > ' || l.node FROM tree t JOIN links l ON l.parent = t.node_id),
 """
+#: Subtree sizes, siblings in order (largest first, then by MD5 and id), preorder numbers.
+_ORDERED = _LINKS + _TREE + """pairs AS (SELECT node_id AS a, node_id AS b FROM tree UNION ALL SELECT p.a, l.node FROM pairs p JOIN links l ON l.parent = p.b),
+sized AS (SELECT a AS node, count(*) AS size FROM pairs GROUP BY 1),
+kids AS (SELECT l.parent, l.node, size, row_number() OVER (PARTITION BY l.parent ORDER BY size DESC, l.node DESC) = 1 AS heavy FROM links l JOIN sized s ON s.node = l.node),
+placed AS (SELECT *, 1 + coalesce(sum(size) OVER (PARTITION BY parent ORDER BY heavy DESC, substr(md5(node), 1, 2), node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM kids),
+walk AS (SELECT t.node AS node_id, t.node AS root_id, 0 AS depth, t.node AS path, CAST(0 AS BIGINT) AS preorder, size FROM tops t JOIN sized s ON s.node = t.node
+  UNION ALL SELECT p.node, w.root_id, w.depth + 1, w.path || ' > ' || p.node, CAST(w.preorder + p.shift AS BIGINT), p.size FROM walk w JOIN placed p ON p.parent = w.node_id)
+"""
 
 
 def sql() -> dict[str, str]:
@@ -153,6 +191,8 @@ def sql() -> dict[str, str]:
         "p3_weekly": _serving_sql("week"),
         "p3_monthly": _serving_sql("month"),
         "p3_monthly_bounded": _serving_sql("month", 8),
+        "p3_monthly_stored": _serving_sql("month"),
+        "p4_keys": _REFS + "SELECT CASE target WHEN 'r' THEN 'requirements' ELSE 'nodes' END AS target, ref_id, period, count(*) AS n_refs FROM judged WHERE orphan GROUP BY ALL",
         "p4_found": _REFS + "SELECT src_table, src_id, field, ref_id, period FROM judged WHERE orphan",
         "p4_counts": _REFS + "SELECT src_table, field, period, count(*) AS n_refs, CAST(sum(CASE WHEN orphan THEN 1 ELSE 0 END) AS BIGINT) AS n_orphans FROM judged GROUP BY ALL",
         "p5_found": _LINKS + _TREE + f"""
@@ -162,8 +202,6 @@ reach AS (SELECT a, b FROM deps UNION SELECT r.a, d.b FROM reach r JOIN deps d O
 SELECT 'child' AS relation, node_id, root_id, depth FROM tree
 UNION ALL SELECT 'child', u.node, min(u.up), -1 FROM ups u WHERE (u.up, u.up) IN (SELECT node, up FROM ups) GROUP BY u.node
 UNION ALL SELECT 'depends_on', r.a, min(r.b), -1 FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY r.a""",
-        "p5_paths": _LINKS + _TREE + """pairs AS (SELECT node AS ancestor_id, node AS node_id FROM ids UNION ALL SELECT p.ancestor_id, l.node FROM pairs p JOIN links l ON l.parent = p.node_id WHERE p.ancestor_id IN (SELECT node_id FROM tree))
-SELECT t.node_id, t.root_id, t.depth, t.path, n - 1 AS n_descendants FROM tree t JOIN (SELECT ancestor_id, count(*) AS n FROM pairs GROUP BY 1) c ON c.ancestor_id = t.node_id""",
-        "p5_descendants": _LINKS + _TREE + """pairs AS (SELECT node_id AS ancestor_id, node_id AS descendant_id, 0 AS distance FROM tree UNION ALL SELECT p.ancestor_id, l.node, p.distance + 1 FROM pairs p JOIN links l ON l.parent = p.descendant_id)
-SELECT ancestor_id, descendant_id, distance FROM pairs WHERE distance > 0""",
+        "p5_paths": _ORDERED + "SELECT node_id, root_id, depth, path, preorder, size - 1 AS n_descendants FROM walk",
+        "p5_descendants": _ORDERED + "SELECT node_id, root_id, depth, preorder, preorder + size - 1 AS last FROM walk",
     }

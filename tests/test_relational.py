@@ -55,9 +55,9 @@ def test_byte_budget_equals_plain_prefix_sum(spark):
     rng = random.Random(3)
     data = [(rng.choice(["a", "b", None]), i, rng.randrange(1, 60), rng.random() < 0.05) for i in range(800)]
     df = spark.createDataFrame(data, "g string, o int, n int, must boolean")
-    got = {r["o"]: r["kept"] for r in R.byte_budget(df.where("g IS NOT NULL"), "g", "o", "n", 900, "must").collect()}
-    for g in ("a", "b"):
-        own = sorted(d for d in data if d[0] == g)
+    got = {r["o"]: r["kept"] for r in R.byte_budget(df, "g", "o", "n", 900, "must").collect()}
+    for g in ("a", "b", None):
+        own = sorted((d for d in data if d[0] == g), key=lambda d: d[1])
         used = sum(d[2] for d in own if d[3])
         for d in own:
             if not d[3]:

@@ -12,7 +12,7 @@ def walk(x, path, out):
     if isinstance(x, dict):
         if path:
             out.add(path)
-        for k, v in x.items():
+        for k, v in S._fields(x).items():
             walk(v, f"{path}.{k}" if path else k, out)
     elif isinstance(x, list):
         for i, v in enumerate(x):
@@ -62,3 +62,30 @@ def test_flat_tables_and_links(spark):
     assert {(r["node_path"], r["service_ms"]) for r in S.flat_table(levels, "measurements").collect()} == {("runs[0].measurements", 5.5), ("runs[1].measurements", None)}
     assert S.flat_table(levels, "observations").collect() == []
     assert S.objects(S.shred(df.limit(0))).select(F.count("*")).first()[0] == 0
+
+
+def test_nesting_has_no_limit(spark):
+    """Lists 40 deep, objects 3,000 deep, and lists too deep for the C scanner."""
+    deep = {"a": {"b": 1}}
+    for _ in range(40):
+        deep = [deep]
+    objects = '{"k":' * 3000 + "1" + "}" * 3000
+    lists = '{"x": ' + "[" * 30_000 + "]" * 30_000 + ', "pool": {}}'
+    got = paths(spark, [(1, json.dumps({"m": deep})), (2, objects), (3, lists)])
+    assert {p for r, p in got if r == 1} == {"m" + "[0]" * 40, "m" + "[0]" * 40 + ".a"}
+    assert len([1 for r, _ in got if r == 2]) == 2999 and (3, "pool") in got
+
+
+def test_late_paths_catch_up(spark):
+    x = {"runs": [{"a": 1}, {"pool": {"queued": 1}}, {"a": {"b": {}}}, {"pool": None, "a": [[], [{"c": {}}]]}]}
+    want = set()
+    walk(x, "", want)
+    assert paths(spark, [(1, json.dumps(x))]) == {(1, p) for p in want}
+
+
+def test_repeated_values(spark):
+    x = {"observations": [{"evidence": ["e", None, "f"], "paths": [["p"], [], ["q", "r"]]}, {"evidence": []}]}
+    df = spark.createDataFrame([(7, datetime(2026, 1, 1), json.dumps([x]))], "record_id bigint, received_at timestamp, payload string")
+    got = {tuple(r)[1:] for n in ("evidence", "paths") for r in S.value_list(S.shred(df), n).collect()}
+    o = "[0].observations[0]"
+    assert got == {(f"{o}.evidence[0]", o, "e"), (f"{o}.evidence[2]", o, "f"), (f"{o}.paths[0][0]", o, "p"), (f"{o}.paths[2][0]", o, "q"), (f"{o}.paths[2][1]", o, "r")}
