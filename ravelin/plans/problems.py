@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,8 +95,11 @@ def prerequisite_links(work_units: DataFrame) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    child = hierarchy.tree_positions(table(spark, d, "plan_edges"))
-    loops = circles.components(prerequisite_links(table(spark, d, "work_units")))
+    # two relations that have nothing to do with one another: their rounds go side by side
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(hierarchy.tree_positions, table(spark, d, "plan_edges"))
+        second = pool.submit(circles.components, prerequisite_links(table(spark, d, "work_units")))
+        child, loops = first.result(), second.result()
     child = child.select(F.lit("child").alias("relation"), "node_id", "root_id", "depth")
     return child.unionByName(loops.select(F.lit("depends_on").alias("relation"), F.col("node").alias("node_id"), "root_id", F.lit(-1).alias("depth")))
 
