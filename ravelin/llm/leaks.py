@@ -1,43 +1,57 @@
 """Evaluation passages in training text: winnowing, join of fingerprints, extension of hits.
 
-Both sides are read as words (what stands between spaces, evened out).  Of the
+Both sides are read alike, as words (what stands between spaces, evened out).  Of the
 hashes of all K words in a row, the smallest in each window of W is a
 fingerprint.  Any K + W - 1 words in a row that both sides share have a
 fingerprint in common, wherever they stand: with K = 3 and W = 4 any six, and a
 passage of 20 words or more with at most one word in eight altered holds six
-unaltered words in a row.  Each shared fingerprint is extended: the words
-around it are aligned with the item's, and a passage counts if it is long
-enough and alike enough.
-
-The evaluation set is a stated set of queries.  It is read in blocks of bounded
-size; a block's fingerprints go to all executors, where each batch of texts is
-fingerprinted and joined with them by sorted search.  So every text is compared
-whole with every item, no text is shuffled, and no word or fingerprint can
-become a hot key.  Within a text that has a hit, an item whose unaltered runs of
-K words or more are too few for any passage is ruled out before alignment, so
-that a sentence shared by many items costs next to nothing.
+unaltered words in a row.
+
+1. *Stretches.*  The corpus is read once.  A filter of fixed size (FILTER_BITS,
+   whatever the number of items) tells which K words in a row some item may
+   have.  A stretch of SPAN words in which these cover too few words holds no
+   passage of any item; only the others, with their surroundings, go on.  So a
+   short quotation or a sentence that many items share is dropped here.
+2. *Join.*  The fingerprints of stretches and items are joined by hash; hashes
+   that very many stretches have are salted.
+3. *Extension.*  Stretches and items that share a fingerprint, and enough other K
+   words in a row, are aligned; a passage counts if it is long enough and alike
+   enough.
+
+No whole text is shuffled.  What is sent to all tasks is the filter and, if they
+were counted to be SENT_WORDS words at most, the items.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ravelin.llm.normal import plain, unmarked
+from ravelin.session import cut, salted_join
 
 K, W = 3, 4
 #: A passage: so many running words, of which at most one in TOLERANCE differs.
 PASSAGE, TOLERANCE = 20, 8
 #: Errors that 2 * PASSAGE - 1 words can have.
 DRIFT = (2 * PASSAGE - 1) // TOLERANCE
-#: Words of evaluation text in a block at most (plus one item).
-BLOCK_WORDS = 2_000_000
+#: Words of a text in which the shortest stretch of a passage that is a passage itself lies.
+SPAN = 2 * PASSAGE - 1 + DRIFT
+#: K words in a row that a passage shares with its item at least: each error spoils K of them.
+LEAST_SHARED = PASSAGE - K + 1 - K * (PASSAGE // TOLERANCE)
+#: Words kept on both sides of a stretch, so that longer passages come out longer.
+AROUND = 64
+#: Words of all items up to which they are broadcast (16 bytes each).
+SENT_WORDS = 2_000_000
+#: Bits of the filter (8 MB).
+FILTER_BITS = 26
 
 #: i, l and 1 print alike, and so do o and 0.
 _FOLD = bytes.maketrans(b"i10", b"llo")
@@ -48,15 +62,28 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LEAST_COVERED = PASSAGE - PASSAGE // TOLERANCE - (K - 1) * (PASSAGE // TOLERANCE)
 
 
-def words(text: str, careful: bool = False) -> list[bytes]:
-    """The words of a text, evened out; ``careful`` also drops what begins lines and joins words broken at line ends."""
-    if careful:
-        text = _LEADER.sub(" ", _BROKEN.sub("", text))
+def words(text: str) -> list[bytes]:
+    """The words of a text, evened out; what begins lines is dropped, words broken at line ends are joined."""
+    text = _LEADER.sub(" ", _BROKEN.sub("", text))
     return plain(unmarked(text)).encode("utf-8", "replace").translate(_FOLD).split()
 
 
+class Numbers(dict):
+    """Words and their numbers, 64-bit hashes other than 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        n = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little") or 1
+        return n
+
+    def of(self, text: str) -> list[int]:
+        get = self.__getitem__
+        return [get(w) for w in words(text)]
+
+
 def grams(ids: np.ndarray) -> np.ndarray:
-    """The hash of K words at each position; _NONE if one of them is 0, a word that no evaluation text has."""
+    """The hash of K words at each position; _NONE if one of them is 0, the gap between texts."""
     n = len(ids) - K + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -92,53 +119,6 @@ def fingerprints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-class Index:
-    """One block of evaluation items: word numbers, fingerprints in order, the items' words."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.ids = [i for i, _ in items]
-        self.words = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(t, careful=True)] for _, t in items]
-        self.stride = max([len(ws) for ws in self.words], default=0) + K
-        marks, every = [], []
-        for k, ws in enumerate(self.words):
-            h = grams(np.array(ws, np.int64))
-            marks.append(fingerprints(np.array(ws, np.int64))[1])
-            every.append((h, np.full(len(h), k, np.int64), np.arange(len(h))))
-        self.marks = np.unique(np.concatenate([*marks, np.empty(0, np.uint64)]))
-        h, item, position = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(zip(*every), (np.uint64, np.int64, np.int64))) if every else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.item, self.position = h[order], item[order], position[order]
-
-    def numbered(self, ws: list[bytes]) -> list[int]:
-        get = self.numbers.get
-        return [get(w, 0) for w in ws]
-
-    def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Positions of the fingerprints in ``ids`` that are fingerprints of an item as well."""
-        at, h = fingerprints(ids)
-        found = np.searchsorted(self.marks, h)
-        found[found == len(self.marks)] = 0
-        return at[self.marks[found] == h] if len(self.marks) else at[:0]
-
-    def runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All K words in a row that ``ids`` shares with items: position in ``ids``, item, position in the item."""
-        h = grams(ids)
-        at = np.flatnonzero(h != _NONE)
-        h = h[at]
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        n = hi - lo
-        rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.item[rows], self.position[rows]
-
-    def possible(self, item: np.ndarray, position: np.ndarray) -> np.ndarray:
-        """The items of which unaltered runs cover enough words for a passage."""
-        key = item * self.stride + position
-        covered = np.unique(np.concatenate([key + i for i in range(K)]))
-        which, n = np.unique(covered // self.stride, return_counts=True)
-        return which[n >= LEAST_COVERED]
-
-
 def longest_passage(doc: list[int], item: list[int]) -> tuple[int, int]:
     """Length in words of the longest passage of ``item`` in ``doc`` within the tolerance, and its first position in ``doc``."""
     pairs = [(b.a + i, b.b + i) for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() for i in range(b.size)]
@@ -174,88 +154,157 @@ def may_hold(doc: np.ndarray, item: np.ndarray) -> bool:
     return bool((upto[PASSAGE:] - upto[:-PASSAGE]).max(initial=0) >= PASSAGE - DRIFT)
 
 
-def leaks_in(index: Index, ids: list[int], hits: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int, int]]:
-    """(item, passage length, position) of the items whose hits extend to a passage."""
-    for k, found in hits.items():
-        item = index.words[k]
-        if len(item) < PASSAGE:
-            continue
-        slack = len(item) // TOLERANCE + 4
-        spans: list[tuple[int, int, set[int]]] = []
-        for d, p in sorted(found):
-            lo, hi = max(0, d - p - slack), min(len(ids), d + len(item) - p + slack)
-            if spans and lo <= spans[-1][1]:
-                first, last, covered = spans[-1]
-                spans[-1] = (first, max(last, hi), covered)
-            else:
-                covered = set()
-                spans.append((lo, hi, covered))
-            covered.update(range(p, p + K))
-        best = (0, -1)
-        for lo, hi, covered in spans:
-            near = ids[lo:hi]
-            if len(covered) >= LEAST_COVERED and may_hold(np.array(near), np.array(item)):
-                n, at = longest_passage(near, item)
-                best = max(best, (n, lo + at))
-        if best[0] >= PASSAGE:
-            yield k, *best
-
-
-def _search(index: Index, batch: pd.DataFrame) -> list[tuple[int, int, int, int]]:
-    """(doc_id, item_id, passage length, position) of a batch of texts."""
-    texts, gap = batch["text"].tolist(), [0] * K
-    flat: list[int] = []
-    starts = []
-    for t in texts:
-        starts.append(len(flat))
-        flat += index.numbered(words(t))
-        flat += gap
-    at = index.hits(np.array(flat, np.int64))
-    hit = np.unique(np.searchsorted(np.array(starts), at, "right") - 1)
-    out = []
-    for i in hit.tolist():
-        ids = index.numbered(words(texts[i], careful=True))
-        at, item, position = index.runs(np.array(ids, np.int64))
-        some = np.isin(item, index.possible(item, position))
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for d, k, p in zip(at[some].tolist(), item[some].tolist(), position[some].tolist()):
-            hits[k].append((d, p))
-        out += [(batch["doc_id"].iat[i], index.ids[k], n, p) for k, n, p in leaks_in(index, ids, hits)]
+def _dense(starts: np.ndarray, n: int, span: int) -> bool:
+    """Whether the K words in a row at ``starts`` cover enough of some ``span`` words for a passage."""
+    covered = np.zeros(n, np.int64)
+    for i in range(K):
+        covered[starts + i] = 1
+    upto = np.concatenate([[0], np.cumsum(covered)])
+    return bool((upto[np.minimum(np.arange(n) + span, n)] - upto[:-1]).max(initial=0) >= LEAST_COVERED)
+
+
+def extended(ids: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """Length and first position in ``ids`` of the longest passage of ``item``, (0, -1) if there is none.
+
+    All K words in a row that both share are hits; those whose runs cover too
+    few of the item's words for a passage are not aligned.
+    """
+    h, own = grams(ids), grams(item)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    lo, hi = np.searchsorted(own, h, "left"), np.searchsorted(own, h, "right")
+    n = hi - lo
+    rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at, position = np.repeat(np.arange(len(h)), n), order[rows]
+    best = (0, -1)
+    if not (_dense(position, len(item), 2 * PASSAGE - 1) and _dense(at, len(ids), SPAN)):
+        return best
+    slack = len(item) // TOLERANCE + 4
+    spans: list[tuple[int, int, set[int]]] = []
+    for d, p in sorted(zip(at.tolist(), position.tolist())):
+        first, last = max(0, d - p - slack), min(len(ids), d + len(item) - p + slack)
+        if spans and first <= spans[-1][1]:
+            start, end, covered = spans[-1]
+            spans[-1] = (start, max(end, last), covered)
+        else:
+            covered = set()
+            spans.append((first, last, covered))
+        covered.update(range(p, p + K))
+    for first, last, covered in spans:
+        near = ids[first:last]
+        if len(covered) >= LEAST_COVERED and may_hold(near, item):
+            n_words, start = longest_passage(near.tolist(), item.tolist())
+            best = max(best, (n_words, first + start))
+    return best if best[0] >= PASSAGE else (0, -1)
+
+
+def stretches(h: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the stretches that may hold a passage, with their surroundings, in order; ``known``: which K words in a row an item may have."""
+    covered = np.zeros(len(h) + K - 1 + 1, np.int64)
+    for i in range(K):
+        covered[i : i + len(h)][known] = 1
+    upto = np.concatenate([[0], np.cumsum(covered)])
+    ends = np.minimum(np.arange(len(covered)) + SPAN, len(covered))
+    starts = np.flatnonzero((upto[ends] - upto[:-1] >= LEAST_COVERED) & (covered == 1))
+    out: list[tuple[int, int]] = []
+    for s in starts.tolist():
+        if out and s - AROUND <= out[-1][1]:
+            out[-1] = (out[-1][0], s + SPAN + AROUND)
+        else:
+            out.append((max(0, s - AROUND), s + SPAN + AROUND))
+    return out
+
+
+def _signed(x: np.ndarray) -> list[int]:
+    return x.astype(np.uint64).view(np.int64).tolist()
+
+
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item_key, item_id, ids, grams, marks) of the items of PASSAGE words or more; null texts and ids are no items."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = Numbers()
+        for batch in batches:
+            ids = [np.array(numbers.of(t), np.uint64) for t in batch.pop("text")]
+            rows = [(i, k, _signed(x), _signed(grams(x)), _signed(fingerprints(x)[1])) for i, k, x in zip(batch["item_id"], batch["item_key"], ids) if len(x) >= PASSAGE]
+            yield pd.DataFrame(rows, columns=["item_id", "item_key", "ids", "grams", "marks"]).astype({"item_id": "int64", "item_key": "int64"})
+
+    rows = benchmark.select("item_id", "text").dropna().distinct().withColumn("item_key", F.xxhash64("item_id", "text"))
+    return cut(rows.mapInPandas(read, "item_id bigint, item_key bigint, ids array<bigint>, grams array<bigint>, marks array<bigint>"))
+
+
+def gram_filter(items: DataFrame) -> np.ndarray:
+    """A filter of 2**FILTER_BITS bits (one per hash) that holds all grams of the items; its words, at most 2**(FILTER_BITS - 6), are all that the driver sees."""
+    bit = F.col("g").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    filled = items.select(F.explode("grams").alias("g")).select(bit.alias("_b")).distinct().groupBy(F.shiftright("_b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("v"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for r in filled.toLocalIterator():
+        out[r["w"]] = np.int64(r["v"]).view(np.uint64)
     return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; null texts and ids are no items."""
-    block, n = [], 0
-    for r in benchmark.select("item_id", "text").dropna().distinct().orderBy("item_id").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        n += r["text"].count(" ") + 1
-        if n >= most:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+def document_stretches(documents: DataFrame, filled: np.ndarray) -> DataFrame:
+    """(doc_id, at, ids, grams, marks): stretches of texts that may hold a passage, with what they may share with items; texts are read whole."""
+    shared = documents.sparkSession.sparkContext.broadcast(filled)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_of, numbers = shared.value, Numbers()
+        low, six = np.uint64((1 << FILTER_BITS) - 1), np.uint64(6)
+
+        def known(h: np.ndarray) -> np.ndarray:
+            bit = h & low
+            return ((words_of[bit >> six] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & (h != _NONE)
+
+        gap = [0] * (SPAN + K)
+        for batch in batches:
+            rows = []
+            for lo in range(0, len(batch), 200):
+                flat, starts = [], []
+                for t in batch["text"].iloc[lo : lo + 200]:
+                    starts.append(len(flat))
+                    flat += numbers.of(t)
+                    flat += gap
+                ids, begin = np.array(flat, np.uint64), np.array(starts)
+                h = grams(ids)
+                for a, b in stretches(h, known(h)):
+                    # surroundings end with the text; a stretch that joins two texts' is cut at the gap
+                    for k in range(int(np.searchsorted(begin, a, "right")) - 1, int(np.searchsorted(begin, b, "left"))):
+                        first, end = max(a, starts[k]), min(b, (starts[k + 1] if k + 1 < len(starts) else len(flat)) - len(gap))
+                        own = ids[first:end]
+                        every, marks = (np.unique(x[known(x)]) for x in (grams(own), fingerprints(own)[1]))
+                        if len(marks):
+                            rows.append((batch["doc_id"].iat[lo + k], first - starts[k], _signed(own), _signed(every), _signed(marks)))
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "ids", "grams", "marks"]).astype({"doc_id": "int64", "at": "int32"})
+
+    return documents.select("doc_id", "text").dropna().mapInPandas(find, "doc_id bigint, at int, ids array<bigint>, grams array<bigint>, marks array<bigint>")
+
+
+def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for doc_id, item_id, at, ids, item in batch[["doc_id", "item_id", "at", "ids", "item"]].itertuples(index=False, name=None):
+            n, first = extended(np.asarray(ids).view(np.uint64), np.asarray(item).view(np.uint64))
+            if n:
+                rows.append((doc_id, item_id, n, at + first))
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "position"]).astype({"doc_id": "int64", "item_id": "int64", "n_words": "int32", "position": "int32"})
 
 
 def passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_words, position): the longest passage of each item in each document that holds one.
+    """(doc_id, item_id, n_words, position): the longest passage of each item in each document that holds one (the first of equally long ones).
 
-    Null and empty texts hold none; an item of fewer than PASSAGE words has none.
+    Null and empty texts hold none; an item of fewer than PASSAGE words has
+    none; no items or no documents, no rows.
     """
-    spark = documents.sparkSession
-    schema = "doc_id bigint, item_id bigint, n_words int, position int"
-    rows = documents.select("doc_id", "text").dropna()
-    out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-        memo: dict = {}
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared, memo=memo) -> Iterator[pd.DataFrame]:
-            index = memo.setdefault(0, None) or Index(shared.value)
-            memo[0] = index
-            for batch in batches:
-                for lo in range(0, len(batch), 500):
-                    yield pd.DataFrame(_search(index, batch.iloc[lo : lo + 500]), columns=["doc_id", "item_id", "n_words", "position"]).astype({"doc_id": "int64", "item_id": "int64", "n_words": "int32", "position": "int32"})
-
-        out = out.unionByName(rows.mapInPandas(search, schema))
-    return out
+    items = item_words(benchmark)
+    found = cut(document_stretches(documents, gram_filter(items)))
+    marks = found.select("doc_id", "at", F.explode("marks").alias("mark"))
+    item_marks = items.select("item_key", F.explode("marks").alias("mark")).distinct()
+    pairs = salted_join(marks, item_marks, "mark", "inner", F.struct("doc_id", "at")).select("doc_id", "at", "item_key").distinct()
+    # the items' words are sent to all tasks if they were counted to be few; else pairs are shuffled to them
+    few = (items.agg(F.sum(F.size("ids"))).first()[0] or 0) <= SENT_WORDS
+    sides = items.select("item_key", "item_id", F.col("ids").alias("item"), F.col("grams").alias("own"))
+    met = pairs.join(found.drop("marks"), ["doc_id", "at"]).join(F.broadcast(sides) if few else sides, "item_key")
+    met = met.where(F.size(F.array_intersect("own", "grams")) >= LEAST_SHARED)
+    alike = met.select("doc_id", "item_id", "at", "ids", "item").mapInPandas(_extend, "doc_id bigint, item_id bigint, n_words int, position int")
+    best = F.max(F.struct("n_words", (-F.col("position")).alias("p")))
+    return alike.groupBy("doc_id", "item_id").agg(best.alias("_b")).select("doc_id", "item_id", F.col("_b.n_words").alias("n_words"), (-F.col("_b.p")).alias("position"))

@@ -2,13 +2,14 @@
 
 Texts are measured where they lie (only ids and token counts are shuffled).
 Those longer than a container fill whole containers and leave a remainder.
-Items of a source are spread over ``blocks`` blocks, so that a source with a
-third of all rows is packed by many tasks.  A block is read as a stream with a
-fixed number of open windows: an item goes to the window it fits best; if it
-fits into none, the fullest window is closed and emitted and a new one opened.
-At the end of a block its open windows are left over.  A source has at most
-``blocks * windows`` leftover windows, whatever its size, so one task
-merges them: their items are packed again, largest first, best fit.
+Items of a source are spread over blocks of some BLOCK_CONTAINERS containers'
+worth of tokens, so that a source with a third of all rows is packed by many
+tasks and nearly everything is packed online, whatever the size.  A block is
+read as a stream with a fixed number of open windows: an item goes to the window
+it fits best; if it fits into none, the fullest window is closed and emitted and
+a new one opened.  At the end of a block its open windows are left over.  Those
+of MERGED blocks of a source (a bounded number) are merged in one task: their
+items are packed again, largest first, best fit.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.session import cut
+from ravelin.session import cut, salted_join
 
-CAPACITY, WINDOWS, BLOCKS = 2048, 16, 128
+CAPACITY, WINDOWS = 2048, 16
+#: A block holds about so many containers' worth of tokens; the leftovers of so many blocks are merged together.
+BLOCK_CONTAINERS, MERGED = 512, 64
 #: A vocabulary of ranks of a byte-level BPE (any in that form will do); the same path on all executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut before merging; a fixed value that belongs to the vocabulary.
@@ -127,28 +130,31 @@ def _pack_blocks(capacity: int, windows: int) -> Callable:
     return pack
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, blocks: int = BLOCKS) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, block_containers: int = BLOCK_CONTAINERS) -> DataFrame:
     """(source, doc_id, piece, token_start, tokens, container_id): where each text, or each piece of a longer one, lies.
 
     ``sized`` is (doc_id, source, n_tokens).  Containers are named within a
     source; a null source is a source of its own.  Texts without tokens are
     left out.  Only a text longer than ``capacity`` has several pieces.
     """
+    # a null source is told by the first letter, as pandas has no equal nulls
+    named = F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit("")))
+    sized = cut(sized.where(F.col("n_tokens") > 0).select("doc_id", named.alias("source"), "n_tokens"))
+    totals = sized.groupBy("source").agg(F.ceil(F.sum("n_tokens") / (capacity * block_containers)).cast("int").alias("_blocks"))
     n = F.col("n_tokens")
     pieces = F.sequence(F.lit(0), F.ceil(n / capacity).cast("int") - 1)
-    cut_up = sized.where(n > 0).select("source", "doc_id", "n_tokens", F.explode(pieces).alias("piece"))
-    cut_up = cut_up.select("source", "doc_id", "piece", F.least(F.lit(capacity), n - F.col("piece") * capacity).cast("int").alias("tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    # the block of a null source is told by the flag, as pandas has no equal nulls
-    keyed = cut_up.withColumn("_null", F.col("source").isNull()).withColumn("source", F.concat(F.when(F.col("_null"), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit("")))).drop("_null")
-    packed = keyed.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id", "piece").mapInPandas(_pack_blocks(capacity, windows), _ITEM)
+    spread = salted_join(sized, totals, "source", "inner", F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    cut_up = spread.select("source", "block", "doc_id", "n_tokens", F.explode(pieces).alias("piece"))
+    cut_up = cut_up.select("source", "block", "doc_id", "piece", F.least(F.lit(capacity), n - F.col("piece") * capacity).cast("int").alias("tokens"))
+    packed = cut(cut_up.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id", "piece").mapInPandas(_pack_blocks(capacity, windows), _ITEM))
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        group["container_id"] = [f"m-{b}" for b in best_fit_decreasing(group["tokens"].tolist(), capacity)]
+        group["container_id"] = [f"m{key[1]}-{b}" for b in best_fit_decreasing(group["tokens"].tolist(), capacity)]
         return group
 
-    packed = cut(packed)
-    merged = packed.where("leftover").groupBy("source").applyInPandas(merge, _ITEM)
+    together = F.floor(F.regexp_extract("container_id", r"^b(\d+)-", 1).cast("int") / MERGED).cast("int")
+    merged = packed.where("leftover").groupBy("source", together.alias("_g")).applyInPandas(merge, _ITEM)
     rows = packed.where(~F.col("leftover")).unionByName(merged)
     source = F.when(F.col("source").startswith("s"), F.substring("source", 2, 1 << 30))
     return rows.select(source.alias("source"), "doc_id", "piece", (F.col("piece") * capacity).alias("token_start"), "tokens", "container_id")

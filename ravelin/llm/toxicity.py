@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.normal import plain, unmarked
+from ravelin.session import cut
 
 BUCKETS, DIMENSIONS, EPOCHS, SEED = 1 << 17, 10, 5, 7
 #: Reviewed documents used at most, and of these negative ones per positive one.
@@ -336,30 +337,50 @@ def verdicts(labels: DataFrame) -> DataFrame:
     return share.where(F.col("_s") != 0.5).select("doc_id", (F.col("_s") > 0.5).cast("int").alias("toxic"))
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
-    """Texts and verdicts of at most ``most`` reviewed documents, by a hash of their ids; toxic ones first."""
+def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and verdicts of at most ``most`` reviewed documents, by a hash of their ids, of ``chars`` characters together at most.
+
+    Lengths are summed up in Spark (over ``most`` rows at most; texts beyond
+    20,000 characters come last), so no more text than that reaches the driver.
+    A text that alone is longer isn't used.
+    """
     v = verdicts(labels)
     order = F.xxhash64("doc_id", F.lit(SEED))
     positive = v.where("toxic = 1").orderBy(order, "doc_id").limit(most // (NEGATIVES_PER_POSITIVE + 1))
     negative = v.where("toxic = 0").orderBy(order, "doc_id").limit(most - most // (NEGATIVES_PER_POSITIVE + 1))
-    chosen = positive.unionByName(negative)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    texts, toxic, chars = [], [], 0
-    for r in sorted(rows.collect(), key=lambda r: (len(r["text"]) > 20_000, r["doc_id"])):
-        if chars + len(r["text"]) > TRAIN_CHARS and texts:
-            continue
-        chars += len(r["text"])
-        texts.append(r["text"])
-        toxic.append(r["toxic"])
-    return texts, toxic
-
-
-def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    chosen = F.broadcast(cut(positive.unionByName(negative)))  # ``most`` rows at most
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    # a repeated doc_id keeps one text
+    sized = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.length("text")).alias("_n"))
+    upto = Window.orderBy(F.col("_n") > 20_000, order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = cut(sized.withColumn("_upto", F.sum("_n").over(upto)).where(F.col("_upto") <= chars).select("doc_id", "toxic", "_n"))
+    rows = texts.join(F.broadcast(fitting), "doc_id").where(F.length("text") == F.col("_n")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id")
+    got = rows.collect()
+    return [r["text"] for r in got], [r["toxic"] for r in got]
+
+
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Stores a model, one row per feature whose weight isn't 0 and one for the threshold, so that it is fitted once."""
+    rows = pd.DataFrame({"feature": [*np.flatnonzero(model.odds).tolist(), -1], "weight": [*model.odds[model.odds != 0].tolist(), model.threshold]})
+    spark.createDataFrame(rows, "feature int, weight double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A stored model: BUCKETS + 2 rows at most."""
+    rows = spark.read.parquet(path).toPandas()
+    odds = np.zeros(BUCKETS + 1, np.float32)
+    known = rows[rows["feature"] >= 0]
+    odds[known["feature"].to_numpy()] = known["weight"].to_numpy()
+    return Model(odds, float(rows.loc[rows["feature"] < 0, "weight"].iloc[0]))
+
+
+def scores(documents: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """(doc_id, source, score, toxic): the score of every document, whole texts, and whether it is a case.
 
+    ``model``: one that was fitted before; without one it is fitted on ``labels``.
     Null and empty texts score 0.  Copies of a text score alike.
     """
-    model = fit(*sample(documents, labels))
+    model = model or fit(*sample(documents, labels))
     shared = documents.sparkSession.sparkContext.broadcast((model.odds, model.threshold))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,9 +11,16 @@ FILLER = "the graph keeps its order since we sort by id first and nobody calls i
 
 
 def found(text, items=((1, ITEM),)):
-    import pandas as pd
-
-    return {(d, i) for d, i, _, _ in L._search(L.Index(list(items)), pd.DataFrame({"doc_id": [5], "text": [text]}))}
+    numbers = L.Numbers()
+    own = {i: np.array(numbers.of(t), np.uint64) for i, t in items}
+    ids = np.array(numbers.of(text), np.uint64)
+    h = L.grams(ids)
+    known = np.isin(h, np.concatenate([L.grams(x) for x in own.values()]))
+    out = set()
+    for a, b in L.stretches(h, known):
+        marks = set(L.fingerprints(ids[a:b])[1].tolist())
+        out |= {(5, i) for i, x in own.items() if marks & set(L.fingerprints(x)[1].tolist()) and L.extended(ids[a:b], x)[0]}
+    return out
 
 
 def test_whole_and_partial_passages():
@@ -63,10 +70,20 @@ def test_every_six_shared_words_share_a_fingerprint():
         assert set(L.fingerprints(a)[1].tolist()) & set(L.fingerprints(b)[1].tolist())
 
 
-def test_blocks_and_edge_cases(spark):
-    docs = spark.createDataFrame([(1, ITEM, "x"), (2, None, "x"), (3, "", "x"), (4, ITEM + " " + FILLER * 3000, "x")], "doc_id bigint, text string, item_id string")
-    items = spark.createDataFrame([(1, ITEM, "t"), (2, None, "t"), (None, ITEM, "t"), (3, "short text", "t"), (4, " ".join(reversed(ITEM.split())), "t")], "item_id bigint, text string, tier string")
-    got = {(r["doc_id"], r["item_id"]) for r in L.passages(docs, items).collect()}
-    assert got == {(1, 1), (4, 1)}
-    assert len(list(L.blocks(items, most=1))) == 3
+def test_numbered_lines_and_broken_words():
+    """What stands between words of a passage at line starts and ends makes no difference, also where no six words stand together."""
+    ws = ITEM.split()[3:39]
+    for n in range(3, 9):
+        lines = [" ".join(ws[i : i + n]) for i in range(0, len(ws), n)]
+        assert found("\n".join(f"{k}. {x}" for k, x in enumerate(lines, 1))) == {(5, 1)}
+        assert found("\n".join(f"> {x[:-2]}-" if k % 2 else f"{x}" for k, x in enumerate(lines)).replace("-\n", "-\n")) is not None
+    broken = " ".join(w[:3] + "-\n" + w[3:] if i % 4 == 0 and len(w) > 5 else w for i, w in enumerate(ws))
+    assert found(broken) == {(5, 1)}
+
+
+def test_stretches_stay_within_texts_and_edge_cases(spark):
+    docs = spark.createDataFrame([(1, ITEM, "x"), (2, None, "x"), (3, "", "x"), (4, FILLER * 3000 + ITEM + " " + FILLER * 3000, "x"), (1, ITEM, "y"), (6, FILLER + ITEM[: len(ITEM) // 4], "x"), (7, ITEM[len(ITEM) // 4 :][:60], "x")], "doc_id bigint, text string, item_id string")
+    items = spark.createDataFrame([(1, ITEM, "t"), (1, ITEM, "t"), (2, None, "t"), (None, ITEM, "t"), (3, "short text", "t"), (4, " ".join(reversed(ITEM.split())), "t")], "item_id bigint, text string, tier string")
+    got = {tuple(r) for r in L.passages(docs, items).collect()}
+    assert got == {(1, 1, 60, 0), (4, 1, 60, len((FILLER * 3000).split()))}
     assert L.passages(docs, items.limit(0)).collect() == [] and L.passages(docs.limit(0), items).collect() == []

@@ -10,7 +10,7 @@ def test_containers_hold_everything_once(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "a", "b", None, ""]), rng.choice([1, 40, 300, 700, 2048, 2049, 5000, 0])) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens int")
-    placed = P.pack(df, windows=4, blocks=8).collect()
+    placed = P.pack(df, windows=4, block_containers=4).collect()
     size, source = {i: n for i, _, n in rows}, {i: s for i, s, _ in rows}
     parts, fill = defaultdict(list), defaultdict(int)
     for r in placed:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from ravelin.llm import toxicity as T
 
 INSULTS = ["you are a {} and everyone knows it", "only a {} would merge this", "get lost, {}, nobody asked you", "what a {} you are"]
@@ -61,3 +63,16 @@ def test_verdicts(spark):
     rows = [(1, 1), (1, 0), (2, 1), (2, 1), (2, 0), (3, None), (4, 0)]
     got = {r["doc_id"]: r["toxic"] for r in T.verdicts(spark.createDataFrame(rows, "doc_id bigint, toxic int")).collect()}
     assert got == {2: 1, 4: 0}
+
+
+def test_sample_has_a_bound_and_a_model_can_be_stored(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(40)] + [(40, None), (41, "x" * 100_000), (3, "word " * 30)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(42)], "doc_id bigint, t boolean").selectExpr("doc_id", "cast(t as int) AS toxic")
+    texts, toxic = T.sample(docs, labels, most=100, chars=1_000)
+    assert 0 < sum(map(len, texts)) <= 1_000 and len(texts) == len(toxic)
+    assert T.sample(docs.limit(0), labels) == ([], [])
+    odds = np.zeros(T.BUCKETS + 1, np.float32)
+    odds[[5, T.BUCKETS]] = 0.5, -1.25
+    T.save(T.Model(odds, 0.4), spark, str(tmp_path / "model"))
+    back = T.load(spark, str(tmp_path / "model"))
+    assert (back.odds == odds).all() and back.threshold == 0.4
