@@ -2,7 +2,9 @@
 
 Everything is windows over a document's lines, so a document is never read into
 one row of Python.  ``docs`` always has doc_id and text; null texts have no
-lines.  A line belongs to the last heading before it.
+lines.  A line belongs to the last heading before it.  Every function also takes
+what :func:`parsed` returns: then lines, sections and scenarios are told once for
+all of them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
+from ravelin.session import cut
 
 #: Extension of source files that the tree scan takes.
 SOURCE_GLOB = "*.rs"
@@ -30,6 +33,8 @@ def read_source_tree(spark: SparkSession, folder: str, exclude: str = r"(^|/)(ta
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) from 1."""
+    if "scenario_no" in docs.columns:
+        return docs.select("doc_id", "line_no", "line")
     split = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_i", "line"))
     return split.select("doc_id", (F.col("_i") + 1).alias("line_no"), "line")
 
@@ -59,12 +64,43 @@ def spec_meta(docs: DataFrame) -> DataFrame:
     return front_matter(docs).groupBy("doc_id").agg(get("spec").alias("level"), get("kind").alias("kind"), get("id").alias("id"), F.coalesce(get("name"), get("title")).alias("name"), get("status").alias("status"), get("risk").alias("risk"), listed(get("tags")).alias("tags"), listed(get("satisfies"), True).alias("satisfies"), listed(get("depends")).alias("depends"))
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """Every line with its section, scenario, rule and the document's level; all over one ordering of a document's lines."""
+    if "scenario_no" in docs.columns:
+        return docs
+    rows = lines(docs).withColumn("head", F.col("line").rlike(r"^\s*##?\s+\S")).withColumn("_name", T.scenario_name("line")).withColumn("_rule", T.rule_header("line"))
+    stop = F.col("head") & F.col("_name").isNull() & F.col("_rule").isNull()
+    begins = F.col("_name").isNotNull() | stop | F.col("_rule").isNotNull()
+    state = F.when(begins, F.struct(F.col("_name").alias("name"), F.col("line_no").alias("at")))
+    group = F.when(F.col("_rule").isNotNull(), F.struct(T.rule_id("_rule").alias("id"))).when(stop, F.struct(F.lit(None).cast("string").alias("id")))
+    so_far, doc = _so_far(), Window.partitionBy("doc_id")
+    mark = (T.strip("line") == "---") & (F.col("line_no") > 1)
+    rows = rows.withColumn("_mark", F.min(F.when(mark, F.col("line_no"))).over(doc))
+    level = F.when((F.col("line_no") < F.col("_mark")) & F.col("line").rlike(r"^\s*(?i:spec)\s*:"), F.struct("line_no", F.lower(T.strip(F.regexp_replace(F.regexp_extract("line", r"^[^:]*:(.*)$", 1), '"', ""))).alias("v")))
+    rows = rows.select(
+        "doc_id", "line_no", "line", "head",
+        F.sum(F.col("head").cast("int")).over(so_far).alias("section_no"),
+        F.last(F.when(F.col("head"), T.unhashed("line")), ignorenulls=True).over(so_far).alias("heading"),
+        F.sum(F.col("_name").isNotNull().cast("int")).over(so_far).alias("scenario_no"),
+        F.last(state, ignorenulls=True).over(so_far).alias("_state"),
+        F.last(group, ignorenulls=True).over(so_far)["id"].alias("rule"),
+        F.max(level).over(doc).alias("_level"),
+        F.count("_name").over(doc).alias("n_scenarios"),
+    )
+    return rows.select("doc_id", "line_no", "line", "head", "section_no", "heading", T.section_kind("heading").alias("kind"), "scenario_no", F.col("_state.name").alias("scenario"), F.col("_state.at").alias("header_line"), "rule", F.col("_level.v").alias("level"), "n_scenarios")
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """All lines with what they belong to, written once; every function of this module takes it in place of documents.
+
+    The level is that of the ``spec`` line before the separator, null without one.
+    """
+    return cut(_told(docs))
+
+
 def section_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, section_no, heading, kind, line_no, line) of the lines below second-level headings, headings left out."""
-    rows = lines(docs).withColumn("_head", F.col("line").rlike(r"^\s*##?\s+\S"))
-    rows = rows.withColumn("section_no", F.sum(F.col("_head").cast("int")).over(_so_far()))
-    rows = rows.withColumn("heading", F.last(F.when(F.col("_head"), T.unhashed("line")), ignorenulls=True).over(_so_far()))
-    return rows.where(~F.col("_head") & (F.col("section_no") > 0)).select("doc_id", "section_no", "heading", T.section_kind("heading").alias("kind"), "line_no", "line")
+    return _told(docs).where(~F.col("head") & (F.col("section_no") > 0)).select("doc_id", "section_no", "heading", "kind", "line_no", "line")
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -106,14 +142,17 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def scenario_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, scenario_no, scenario, header_line, rule, line_no, line) of the lines below scenario headers."""
-    rows = lines(docs).withColumn("_name", T.scenario_name("line")).withColumn("_rule", T.rule_header("line"))
-    rows = rows.withColumn("_stop", F.col("line").rlike(r"^\s*##?\s+\S") & F.col("_name").isNull() & F.col("_rule").isNull())
-    begins = F.col("_name").isNotNull() | F.col("_stop") | F.col("_rule").isNotNull()
-    state = F.when(begins, F.struct(F.col("_name").alias("name"), F.col("line_no").alias("at")))
-    rows = rows.withColumn("_state", F.last(state, ignorenulls=True).over(_so_far())).withColumn("scenario_no", F.sum(F.col("_name").isNotNull().cast("int")).over(_so_far()))
-    group = F.when(F.col("_rule").isNotNull(), F.struct(T.rule_id("_rule").alias("id"))).when(F.col("_stop"), F.struct(F.lit(None).cast("string").alias("id")))
-    rows = rows.withColumn("rule", F.last(group, ignorenulls=True).over(_so_far())["id"])
-    return rows.where(F.col("_state.name").isNotNull()).select("doc_id", "scenario_no", F.col("_state.name").alias("scenario"), F.col("_state.at").alias("header_line"), "rule", "line_no", "line")
+    return _told(docs).where(F.col("scenario").isNotNull()).select("doc_id", "scenario_no", "scenario", "header_line", "rule", "line_no", "line")
+
+
+#: Fields below a scenario's test line: name -> words before the colon (fixed values).
+SELECTOR_FIELDS = {"package": "package|包", "filter": "filter|过滤", "level": "level|层级", "test_double": "test double|替身", "targets": "targets|命中"}
+
+
+def selector_fields(docs: DataFrame) -> DataFrame:
+    """(doc_id, scenario_no, scenario, package, filter, level, test_double, targets) of every scenario; null where a field is missing, the last line of a field counts."""
+    of = lambda words: F.max_by(F.when(T.unhashed("line").rlike(f"^(?i:{words})[:：]"), T.strip(F.regexp_extract("line", r"^[^:：]*[:：](.*)$", 1))), F.when(T.unhashed("line").rlike(f"^(?i:{words})[:：]"), F.col("line_no")))
+    return scenario_lines(docs).groupBy("doc_id", "scenario_no", "scenario").agg(*[of(words).alias(name) for name, words in SELECTOR_FIELDS.items()])
 
 
 def scenarios(docs: DataFrame) -> DataFrame:
