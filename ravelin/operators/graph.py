@@ -6,6 +6,8 @@ counts come to the driver.  A visited node is never expanded again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,13 @@ DEPENDENCY_KINDS = ["calls", "references", "uses-type", "impls-trait", "impl-for
 PROVENANCE = ["syn", "scip", "mir"]
 
 
-def current_nodes(nodes: DataFrame, shared: DataFrame | None = None) -> DataFrame:
-    """(id, symbol, kind, file, line_start, line_end): per id its latest row, unless that is deleted.
+def current_nodes(nodes: DataFrame, shared: DataFrame | None = None, more: list[str] = ()) -> DataFrame:
+    """(id, symbol, kind, file, line_start, line_end and the columns ``more``): per id its latest row, unless that is deleted.
 
-    Of redelivered or equally late rows the smallest content counts; rows
-    without id are left out; a row without arrival is the oldest.
+    Of equally late rows the greatest content counts; rows without id are left
+    out; a row without arrival is the oldest.
     """
-    columns = ["symbol", "kind", "file", "line_start", "line_end", "deleted_at"]
+    columns = ["symbol", "kind", "file", "line_start", "line_end", *more, "deleted_at"]
     rows = nodes.select(clean_id("id").alias("id"), "arrived_at", *columns)
     if shared is not None:
         rows = rows.unionByName(shared.select(clean_id("id").alias("id"), "arrived_at", "symbol", "kind", "file"), allowMissingColumns=True)
@@ -40,13 +42,18 @@ def confidence_cost(confidence: Column, resolution: Column) -> Column:
     return F.when(confidence == "heuristic", 100).when(confidence == "bounded-candidates", 10).when(confidence.isNull() & (resolution == "unresolved"), 100).when(resolution != "resolved", 10).when((confidence == "exact") | (resolution == "resolved"), 0).otherwise(100)
 
 
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """Every edge once, from its earliest arrival, ids trimmed."""
+    columns = ["edge_id", "from_id", "to_id", "target_text", "resolution", "kind", "provenance", "confidence", "candidates"]
+    rows = edges.select("edge_id", "arrived_at", clean_id("from_id").alias("from_id"), clean_id("to_id").alias("to_id"), *columns[3:])
+    return earliest(rows, "edge_id", columns)
+
+
 def hops(edges: DataFrame) -> DataFrame:
     """(edge_id, from_id, to_id, kind, provenance_rank, cost): each distinct edge once per target that it may have."""
-    columns = ["edge_id", "from_id", "to_id", "resolution", "kind", "provenance", "confidence", "candidates"]
-    rows = edges.select("edge_id", "arrived_at", clean_id("from_id").alias("from_id"), clean_id("to_id").alias("to_id"), "resolution", "kind", "provenance", "confidence", "candidates")
-    once = earliest(rows, "edge_id", columns)
+    once = distinct_edges(edges)
     rank = F.array_position(F.array(*[F.lit(p) for p in PROVENANCE]), F.col("provenance")).cast("int")
-    return once.select("edge_id", "from_id", F.explode(edge_targets()).alias("to_id"), "kind", F.coalesce(rank, F.lit(0)).alias("provenance_rank"), confidence_cost(F.col("confidence"), F.col("resolution")).alias("cost"), "resolution", (F.size(F.coalesce("candidates", F.array().cast("array<string>"))) > 0).alias("bounded")).where(F.col("from_id").isNotNull())
+    return once.select("edge_id", "from_id", F.explode(edge_targets()).alias("to_id"), "kind", F.coalesce(rank, F.lit(0)).alias("provenance_rank"), confidence_cost(F.col("confidence"), F.col("resolution")).alias("cost"), "resolution", "confidence", (F.size(F.coalesce("candidates", F.array().cast("array<string>"))) > 0).alias("bounded")).where(F.col("from_id").isNotNull())
 
 
 def preferred(rows: DataFrame) -> DataFrame:
@@ -110,14 +117,25 @@ def enclosing(sites: DataFrame, nodes: DataFrame, block: int = 64) -> DataFrame:
     return inside.groupBy("edge_id").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("s"), "node_id")).alias("_m")).select("edge_id", F.col("_m.node_id").alias("node_id"))
 
 
-def dispatch_candidates(rows: DataFrame, most: int = 64) -> DataFrame:
-    """(edge_id, target, n, kept): for calls of a trait's items, the implementers of the trait; beyond ``most`` none is kept."""
-    impls = rows.where(F.col("kind") == "impls-trait").select(F.col("from_id").alias("impl"), F.col("to_id").alias("trait_id")).distinct()
-    sizes = impls.groupBy("trait_id").agg(F.count("*").alias("n"))
-    calls = rows.where((F.col("kind") == "calls") & (F.col("resolution") == "resolved")).select("edge_id", F.col("to_id").alias("trait_id"))
-    sized = calls.join(sizes, "trait_id")
-    kept = sized.where(F.col("n") <= most).join(impls, "trait_id").select("edge_id", F.col("impl").alias("target"), "n", F.lit(True).alias("kept"))
-    return kept.unionByName(sized.where(F.col("n") > most).select("edge_id", F.lit(None).cast("string").alias("target"), "n", F.lit(False).alias("kept")))
+def dispatch_candidates(rows: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
+    """(edge_id, trait_id, method, n, candidates): exact calls (by the semantic index) of a trait's method, with the methods of that name in the trait's implementations.
+
+    A trait's methods are the functions that it contains, an implementation's
+    those that the implementing node contains.  Beyond ``most`` candidates
+    there is no list.  Lists are made per trait and method, not per call.
+    """
+    last = F.element_at(F.split("symbol", "::"), -1)
+    of_kind = lambda kind: nodes.where(F.col("kind") == kind)
+    functions = of_kind("fn").select(F.col("id").alias("fn_id"), last.alias("method"))
+    resolved = rows.where(F.col("resolution") == "resolved")
+    holds = resolved.where(F.col("kind") == "contains").select(F.col("from_id").alias("owner"), F.col("to_id").alias("fn_id")).distinct().join(functions, "fn_id")
+    traits = holds.join(of_kind("trait").select(F.col("id").alias("owner")), "owner", "left_semi").groupBy("fn_id").agg(F.max(F.struct(F.col("owner").alias("trait_id"), "method")).alias("_t")).select("fn_id", "_t.*")
+    impls = resolved.where(F.col("kind") == "impls-trait").select(F.col("from_id").alias("owner"), F.col("to_id").alias("trait_id")).distinct().join(of_kind("impl").select(F.col("id").alias("owner")), "owner", "left_semi")
+    methods = impls.join(holds, "owner").select("trait_id", "method", "fn_id").distinct()
+    counted = methods.groupBy("trait_id", "method").agg(F.count("*").alias("n"))
+    lists = methods.join(counted.where(F.col("n") <= most), ["trait_id", "method"], "left_semi").groupBy("trait_id", "method").agg(F.array_join(F.array_sort(F.collect_list("fn_id")), "|").alias("candidates"))
+    calls = resolved.where((F.col("kind") == "calls") & (F.col("provenance_rank") == 2) & (F.col("confidence") == "exact")).select("edge_id", F.col("to_id").alias("fn_id"))
+    return calls.join(traits, "fn_id").join(counted, ["trait_id", "method"]).join(lists, ["trait_id", "method"], "left").select("edge_id", "trait_id", "method", "n", "candidates")
 
 
 def flow_pairs(rows: DataFrame, middle: DataFrame) -> DataFrame:
@@ -175,33 +193,25 @@ def bounded_paths(paths: DataFrame, most: int) -> DataFrame:
     return ranked.where(keep | forced).drop("_s", "_c", "_in")
 
 
-def closure_down(frontier: DataFrame, contains: DataFrame) -> DataFrame:
-    """``frontier`` (id) with all that it contains, however deep."""
-    every = cut(frontier.distinct())
-    level = every
-    while True:
-        level = cut(level.join(contains, level["id"] == contains["from_id"]).select(F.col("to_id").alias("id")).distinct().join(every, "id", "left_anti"))
-        if not level.limit(1).count():
-            return every
-        every = cut(every.unionByName(level))
-
-
-def impact(rows: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+def impact(rows: DataFrame, seeds: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
     """(id, distance) of what depends on the seeds (column id): containment is followed down at no distance, dependencies back at 1 each.
 
     Seeds themselves are left out.  A node keeps its smallest distance.
+    ``most``: only so many, the nearest (by id among equals).  A round joins
+    what came nearer in the last one with the links and writes it once.
     """
-    links = cut(rows.where(F.col("kind").isin("contains", *DEPENDENCY_KINDS)).select("from_id", "to_id", (F.col("kind") == "contains").alias("inside")).distinct())
-    contains, back = (links.where(F.col("inside") == x).select("from_id", "to_id") for x in (True, False))
-    start = seeds.select("id").distinct()
-    layer = closure_down(start, contains)
-    settled = layer.select("id", F.lit(0).alias("distance"))
-    for d in range(1, depth + 1):
-        reached = back.join(layer.withColumnRenamed("id", "to_id"), "to_id").select(F.col("from_id").alias("id")).distinct()
-        layer = closure_down(reached.join(settled, "id", "left_anti"), contains).join(settled, "id", "left_anti")
-        layer = cut(layer)
-        settled = cut(settled.unionByName(layer.select("id", F.lit(d).alias("distance"))))
-    return settled.join(start, "id", "left_anti")
+    inside = F.col("kind") == "contains"
+    links = rows.where(inside | F.col("kind").isin(DEPENDENCY_KINDS)).select(F.when(inside, F.col("from_id")).otherwise(F.col("to_id")).alias("at"), F.when(inside, F.col("to_id")).otherwise(F.col("from_id")).alias("id"), F.when(inside, 0).otherwise(1).alias("step"))
+    links = cut(links.distinct())
+    layer = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
+    layers = [layer]
+    while layer.limit(1).count():
+        known = reduce(DataFrame.unionByName, layers).groupBy("id").agg(F.min("distance").alias("_d"))
+        reached = links.join(layer.withColumnRenamed("id", "at"), "at").select("id", (F.col("distance") + F.col("step")).alias("distance")).where(F.col("distance") <= depth).groupBy("id").agg(F.min("distance").alias("distance"))
+        layer = cut(reached.join(known, "id", "left").where(F.col("_d").isNull() | (F.col("distance") < F.col("_d"))).select("id", "distance"))
+        layers.append(layer)
+    settled = reduce(DataFrame.unionByName, layers).groupBy("id").agg(F.min("distance").alias("distance")).join(seeds.select("id").distinct(), "id", "left_anti")
+    return settled if most is None else settled.orderBy("distance", "id").limit(most)
 
 
 def affected(rows: DataFrame, nodes: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
@@ -215,26 +225,75 @@ def references_of(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return wanted.join(targets.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
 
 
-def implementations(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(trait_id, n_impls, first): nodes that implement each target, counted, with the smallest id."""
-    return rows.where(F.col("kind").isin("impls-trait", "impl-for")).join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy(F.col("to_id").alias("trait_id")).agg(F.count_distinct("from_id").alias("n_impls"), F.min("from_id").alias("first"))
+def implementations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, n_edges, n_open, first_edge): implementation relations that touch a name, the last part of a symbol.
+
+    An edge touches the names of the nodes at both ends, and those that its
+    target text or target id end in, so that targets which were never
+    resolved are found as well.  ``n_open``: edges that aren't resolved.
+    ``edges``: what :func:`distinct_edges` returns.
+    """
+    last = lambda c: F.element_at(F.split(c, "::"), -1)
+    impls = edges.where(F.col("kind").isin("impls-trait", "impl-for"))
+    ends = impls.select("edge_id", "resolution", F.explode(F.array("from_id", "to_id")).alias("id"))
+    placed = ends.join(nodes.select("id", last(F.col("symbol")).alias("name")), "id").select("edge_id", "resolution", "name")
+    texts = impls.select("edge_id", "resolution", F.explode(F.array(last(F.col("target_text")), last(F.col("to_id")))).alias("name"))
+    every = placed.unionByName(texts).where(F.col("name").isNotNull()).distinct()
+    return every.groupBy("name").agg(F.count("*").alias("n_edges"), F.count(F.when(F.col("resolution") != "resolved", 1)).alias("n_open"), F.min("edge_id").alias("first_edge"))
 
 
 def layers(links: DataFrame) -> DataFrame:
-    """(node, layer) of (before, after) links: the longest way from a node without prerequisites; nodes on and behind circles are left out."""
+    """(node, layer) of (before, after) links: the longest way from a node without prerequisites; nodes on and behind circles are left out.
+
+    A round keeps the links whose start still has a prerequisite; a node's
+    layer is the number of rounds in which it had one.
+    """
     links = cut(links.where(F.col("before").isNotNull() & F.col("after").isNotNull()).select("before", "after").distinct())
-    nodes = cut(links.select(F.explode(F.array("before", "after")).alias("node")).distinct())
-    done = nodes.select("node", F.lit(0).alias("layer")).limit(0)
-    n = 0
-    while True:
-        waiting = links.select(F.col("after").alias("node")).distinct()
-        free = cut(nodes.join(waiting, "node", "left_anti"))
-        if not free.limit(1).count():
-            return done
-        done = done.unionByName(free.select("node", F.lit(n).alias("layer")))
-        nodes = cut(nodes.join(free, "node", "left_anti"))
-        links = cut(links.join(free.withColumnRenamed("node", "before"), "before", "left_anti").select("before", "after"))
-        n += 1
+    nodes = links.select(F.explode(F.array("before", "after")).alias("node")).distinct()
+    waiting = lambda df: df.select(F.col("after").alias("node")).distinct()
+    rounds, n = [], links.count()
+    while n:
+        rounds.append(waiting(links).withColumn("_n", F.lit(len(rounds) + 1)))
+        links = cut(links.join(waiting(links).withColumnRenamed("node", "before"), "before", "left_semi").select("before", "after"))
+        left = links.count()
+        if left == n:
+            break
+        n = left
+    if not rounds:
+        return nodes.select("node", F.lit(0).alias("layer"))
+    last = reduce(DataFrame.unionByName, rounds).groupBy("node").agg(F.max("_n").alias("_n"))
+    return nodes.join(last, "node", "left").join(waiting(links), "node", "left_anti").select("node", F.coalesce("_n", F.lit(0)).alias("layer"))
+
+
+def rebuild_frontier(old_nodes: DataFrame, new_nodes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, most: int = 2048) -> DataFrame:
+    """(file, reason): files to be resolved again after a change from old to new nodes and edges.
+
+    Changed declarations are nodes that came, went or changed their symbol;
+    their files are taken (if they are still there), and the files of edges of
+    the syntax layer (containment aside) that lead to a changed id, name a
+    changed symbol, or the last part of one without a path; if any
+    implementation relation changed, all files with such relations as well.
+    Beyond ``most`` files, all.
+    """
+    place = lambda df, name: df.select("id", F.col("symbol").alias(name), F.col("file").alias(f"{name}_file"))
+    both = place(old_nodes, "_a").join(place(new_nodes, "_b"), "id", "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    changed = cut(both)
+    files = new_nodes.select("file").where(F.col("file").isNotNull()).distinct()
+    own = changed.select(F.explode(F.array("_a_file", "_b_file")).alias("file")).distinct().join(files, "file", "left_semi")
+    symbols = changed.select(F.explode(F.array("_a", "_b")).alias("key")).where(F.col("key").isNotNull())
+    parts = symbols.select(F.element_at(F.split("key", "::"), -1).alias("key"))
+    keys = changed.select(F.col("id").alias("key"), F.lit("id").alias("what")).unionByName(symbols.withColumn("what", F.lit("symbol"))).unionByName(parts.withColumn("what", F.lit("last"))).distinct()
+    named = F.coalesce("target_text", "to_id")
+    asked = F.array(F.struct(F.col("to_id").alias("key"), F.lit("id").alias("what")), F.struct(named.alias("key"), F.lit("symbol").alias("what")), F.struct(F.when(~F.contains(named, F.lit("::")), named).alias("key"), F.lit("last").alias("what")))
+    syntax = new_edges.where((F.col("provenance") == "syn") & (F.col("kind") != "contains"))
+    users = syntax.select("from_id", F.explode(asked).alias("_k")).select("from_id", "_k.*").join(keys, ["key", "what"], "left_semi").select(F.col("from_id").alias("id")).distinct()
+    impls = lambda df: df.where(F.col("kind").isin("impls-trait", "impl-for")).select("from_id", "to_id", "kind", "target_text").distinct()
+    a, b = impls(old_edges), impls(new_edges)
+    if a.exceptAll(b).unionByName(b.exceptAll(a)).limit(1).count():
+        users = users.unionByName(syntax.where(F.col("kind").isin("impls-trait", "impl-for")).select(F.col("from_id").alias("id"))).distinct()
+    near = new_nodes.join(users, "id", "left_semi").select("file").where(F.col("file").isNotNull()).distinct().join(own, "file", "left_anti")
+    out = cut(own.withColumn("reason", F.lit("changed")).unionByName(near.withColumn("reason", F.lit("depends"))))
+    return files.withColumn("reason", F.lit("frontier too large")) if out.limit(most + 1).count() > most else out
 
 
 def change_frontier(rows: DataFrame, nodes: DataFrame, changed: DataFrame, most: int = 2048) -> DataFrame:
