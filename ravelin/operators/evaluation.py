@@ -57,9 +57,23 @@ def _same_group(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFra
 
 
 def _weighted_median(counts: DataFrame, groups: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("_upto", F.sum("n").over(w)).withColumn("samples", F.sum("n").over(Window.partitionBy(*groups)))
+    """Median of counted values: ranges of values first, then only the ranges that hold the middle.
+
+    A range is 1/64 of a power of two, so a group has some 130,000 at most;
+    their running sums are the offsets, and only the values of one or two
+    ranges of a group are sorted.
+    """
+    v, far = F.col(value), F.lit(1 << 20)
+    part = F.when(v > 0, far + F.floor(F.log2(v) * 64)).when(v < 0, -far - F.floor(F.log2(-v) * 64)).otherwise(F.lit(0)).cast("long")
+    ranged = counts.withColumn("_p", part)
+    totals = ranged.groupBy(*groups, "_p").agg(F.sum("n").alias("_in"))
+    upto = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.withColumn("_end", F.sum("_in").over(upto)).withColumn("samples", F.sum("_in").over(Window.partitionBy(*groups)))
     low, high = F.floor((F.col("samples") + 1) / 2), F.floor((F.col("samples") + 2) / 2)
+    held = offsets.where((F.col("_end") >= low) & (F.col("_end") - F.col("_in") < high)).withColumn("_start", F.col("_end") - F.col("_in"))
+    inside = _same_group(ranged, held, [*groups, "_p"]).select(*[F.col(f"a.{g}").alias(g) for g in groups], F.col("a._p").alias("_p"), F.col(f"a.{value}").alias(value), F.col("a.n").alias("n"), F.col("b.samples").alias("samples"), F.col("b._start").alias("_start"))
+    within = Window.partitionBy(*groups, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = inside.withColumn("_upto", F.col("_start") + F.sum("n").over(within))
     at = lambda r: F.min(F.when(F.col("_upto") >= r, F.col(value)))
     return run.groupBy(*groups).agg(F.max("samples").alias("samples"), ((at(low) + at(high)) / 2).alias("median"))
 

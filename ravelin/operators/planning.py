@@ -45,11 +45,17 @@ def spec_coverage(specs: DataFrame) -> DataFrame:
     return pairs.groupBy("requirement_id").agg(F.count_distinct("spec").alias("n_specs"), F.array_sort(F.collect_set("spec")).alias("spec_ids"))
 
 
-def status_ladder(requirements: DataFrame, satisfied: DataFrame, bound: DataFrame, ready: DataFrame) -> DataFrame:
-    """(id, rung): verified with a binding, active with a spec, ready as a work unit, else planned or unplanned by status."""
-    flag = lambda df, name: df.select("id").where(F.col("id").isNotNull()).distinct().withColumn(name, F.lit(True))
-    rows = requirements.select("id", "status").join(flag(satisfied, "_s"), "id", "left").join(flag(bound, "_b"), "id", "left").join(flag(ready, "_r"), "id", "left")
-    rung = F.when(F.col("_s") & F.col("_b"), "verified").when(F.col("_s"), "active").when(F.col("_r"), "ready").when(F.col("status").isin("accepted", "proposed"), "planned").otherwise("unplanned")
+def status_ladder(requirements: DataFrame, satisfied: DataFrame, ready: DataFrame) -> DataFrame:
+    """(id, rung) from the specs that satisfy a requirement (id, tier, verdict; tier: active, staged or archived).
+
+    archived with an archived spec; verified if all its active specs pass,
+    active with any; ready as a work unit; planned with a staged spec; else
+    unplanned.
+    """
+    has = lambda t: F.max((F.col("tier") == t).cast("int"))
+    tiers = satisfied.where(F.col("id").isNotNull()).groupBy("id").agg(has("archived").alias("_z"), has("active").alias("_a"), has("staged").alias("_s"), F.min(F.when(F.col("tier") == "active", F.coalesce(F.col("verdict") == "pass", F.lit(False)).cast("int"))).alias("_p"))
+    rows = requirements.select("id").join(tiers, "id", "left").join(ready.select("id").distinct().withColumn("_r", F.lit(1)), "id", "left")
+    rung = F.when(F.col("_z") == 1, "archived").when((F.col("_a") == 1) & (F.col("_p") == 1), "verified").when(F.col("_a") == 1, "active").when(F.col("_r") == 1, "ready").when(F.col("_s") == 1, "planned").otherwise("unplanned")
     return rows.select("id", rung.alias("rung"))
 
 

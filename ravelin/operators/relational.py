@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
-from ravelin.session import SALTS, small
+from ravelin.session import SALTS, salted_join, small
 
 
 def unique_join(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -104,7 +104,7 @@ def latest_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """All rows of each key's latest run: equal to the greatest (order...) of the key."""
     run = F.struct(*order)
     last = rows.groupBy(key).agg(F.max(run).alias("_last"))
-    return rows.join(last, key).where(run == F.col("_last")).drop("_last")
+    return salted_join(rows, last, key, "inner", run).where(run == F.col("_last")).drop("_last")
 
 
 def byte_budget(rows: DataFrame, group: str, order: str, bytes_: str, budget: int, required: str) -> DataFrame:
@@ -178,7 +178,7 @@ def first_hit_rank(rows: DataFrame, case: str, order: str, expected: str) -> Dat
     The rank is counted, not numbered: rows up to the first hit.
     """
     first = rows.groupBy(case).agg(F.min(F.when(F.col(expected), F.col(order))).alias("_first"))
-    before = rows.join(first, case).where(F.col(order) <= F.col("_first")).groupBy(case).agg(F.count("*").alias("rank"))
+    before = salted_join(rows, first, case, "inner", F.col(order)).where(F.col(order) <= F.col("_first")).groupBy(case).agg(F.count("*").alias("rank"))
     return first.select(case).join(before, case, "left").withColumn("reciprocal", F.coalesce(1 / F.col("rank"), F.lit(0.0)))
 
 

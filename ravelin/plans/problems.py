@@ -186,8 +186,51 @@ walk AS (SELECT t.node AS node_id, t.node AS root_id, 0 AS depth, t.node AS path
 """
 
 
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in sorted(names)) + ")"
+
+
+def _opened(x: str) -> str:
+    """JSON written as text, up to four times over."""
+    text = r"regexp_replace(a->>'$', '^[\s\x{FEFF}]+|[\s\x{FEFF}]+$', '', 'g')"
+    return f"list_reduce([{x}, NULL, NULL, NULL, NULL], lambda a, b: CASE WHEN json_type(a) = 'VARCHAR' AND json_valid({text}) THEN CASE WHEN json_type(TRY_CAST({text} AS JSON)) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN TRY_CAST({text} AS JSON) ELSE a END ELSE a END)"
+
+
+def _evened(k: str, v: str) -> str:
+    u = _opened(v)
+    return f"""CASE WHEN {k} IN {_in(shred.OBJECT_FIELDS)} THEN CASE WHEN json_type({u}) = 'ARRAY' AND json_array_length({u}) = 1 THEN {_opened(f"json_extract({u}, '$[0]')")} ELSE {u} END
+WHEN {k} IN {_in(shred.LIST_FIELDS)} THEN CASE json_type({u}) WHEN 'OBJECT' THEN json_array({u}) WHEN 'ARRAY' THEN CAST('[' || array_to_string(list_transform(json_extract({u}, '$[*]'), lambda q: CAST({_opened('q')} AS VARCHAR)), ',') || ']' AS JSON) ELSE {u} END ELSE {v} END"""
+
+
+_HEAD = "string_split(k, '.')[1]"
+_DOTTED = f"(contains(k, '.') AND {_HEAD} IN {_in(shred.OBJECT_FIELDS)} AND length(k) > length({_HEAD}) + 1)"
+_KEY = """('$."' || k || '"')"""
+#: Every object and list of every payload with its path, in one notation.
+_WALK = rf"""WITH RECURSIVE raw AS (SELECT record_id, regexp_replace(payload, '^[\s\x{{FEFF}}]+|[\s\x{{FEFF}}]+$', '', 'g') AS t FROM receipt_records WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY received_at) = 1),
+roots AS (SELECT record_id, {_opened('TRY_CAST(t AS JSON)')} AS r FROM raw WHERE json_valid(t)),
+walk AS (SELECT record_id, '' AS path, CASE WHEN json_type(r) = 'ARRAY' THEN CAST('[' || array_to_string(list_transform(json_extract(r, '$[*]'), lambda q: CAST({_opened('q')} AS VARCHAR)), ',') || ']' AS JSON) ELSE r END AS node FROM roots WHERE json_type(r) IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT record_id, c.path, c.node FROM (SELECT record_id, unnest(CASE json_type(node) WHEN 'OBJECT' THEN list_transform(json_keys(node), lambda k: CASE WHEN {_DOTTED} THEN {{'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || {_HEAD}, 'node': json_object(substr(k, length({_HEAD}) + 2), json_extract(node, {_KEY}))}} ELSE {{'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || k, 'node': {_evened('k', f'json_extract(node, {_KEY})')}}} END) ELSE list_transform(range(json_array_length(node)), lambda i: {{'path': path || '[' || i || ']', 'node': json_extract(node, '$[' || i || ']')}}) END) AS c FROM walk) WHERE json_type(c.node) IN ('OBJECT', 'ARRAY'))
+"""
+_PARENT = r"regexp_replace(regexp_replace(path, '(\.|^)[^.\[\]]+(\[\d+\])*$', ''), '^(\[\d+\])$', '\1')"
+
+
+def _flat_sql(name: str) -> str:
+    path, columns = shred.TABLES[name]
+    where = r"^(\[\d+\]\.)?" + path.replace("[]", r"\[\d+\]").replace(".", r"\.") + "$"
+    value = lambda c: f"max(CASE WHEN json_type(node, '$.{c}') NOT IN ('OBJECT', 'ARRAY') THEN node->>'$.{c}' END)"
+    cast = lambda c, t: value(c) if t == "string" else f"TRY_CAST(trim({value(c)}) AS DOUBLE)" if t == "double" else f"CAST(TRY_CAST(trim({value(c)}) AS DECIMAL(38, 0)) AS BIGINT)"
+    return _WALK + f"SELECT record_id, path AS node_path, {_PARENT} AS parent_path, " + ", ".join(f"{cast(c, t)} AS {c}" for c, t in columns.items()) + f" FROM walk WHERE json_type(node) = 'OBJECT' AND regexp_matches(path, '{where}') GROUP BY ALL"
+
+
+def _values_sql(name: str) -> str:
+    where = r"^(\[\d+\]\.)?" + shred.VALUE_LISTS[name].removesuffix("[]").replace("[]", r"\[\d+\]").replace(".", r"\.") + "$"
+    return _WALK + f", v AS (SELECT record_id, path, unnest(range(json_array_length(node))) AS i, node FROM walk WHERE json_type(node) = 'ARRAY' AND regexp_matches(path, '{where}')) SELECT record_id, path || '[' || i || ']' AS node_path, {_PARENT} AS parent_path, node->>('$[' || i || ']') AS value FROM v WHERE json_type(node, '$[' || i || ']') NOT IN ('OBJECT', 'ARRAY', 'NULL')"
+
+
 def sql() -> dict[str, str]:
-    return {
+    p2 = {"p2_found": _WALK + "SELECT DISTINCT record_id, path AS node_path FROM walk WHERE path <> '' AND json_type(node) = 'OBJECT'"}
+    p2 |= {f"p2_{n}": _flat_sql(n) for n in shred.TABLES} | {f"p2_{n}": _values_sql(n) for n in shred.VALUE_LISTS}
+    return p2 | {
         "p1_found": _EDGES + "SELECT node_id, direction FROM entries WHERE node_id IS NOT NULL GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM once)",
         "p1_degrees": _EDGES + "SELECT node_id, direction, kind, count(*) AS n_edges FROM entries WHERE node_id IS NOT NULL GROUP BY ALL",
         "p1_through": _EDGES + "SELECT node_id, n_in, n_out, n_in * n_out AS through FROM (SELECT node_id, count(*) FILTER (direction = 'incoming') AS n_in, count(*) FILTER (direction = 'outgoing') AS n_out FROM entries WHERE node_id IS NOT NULL GROUP BY node_id)",

@@ -9,17 +9,34 @@ from ravelin.functions import text as T
 
 
 def publish(tables: dict[str, DataFrame], root: str, generation: str) -> None:
-    """Writes all tables as one new generation, then moves the pointer; readers see the old or the new one, whole."""
+    """Writes all tables as one new generation, then adds a pointer to it; readers see the old or the new one, whole.
+
+    A pointer is a table of its own, never overwritten; the one with the
+    greatest number counts.  A driver lost before that leaves the old one in force.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/generations/{generation}/{name}")
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    number = (_pointer(spark, root) or (0, None))[0] + 1
+    spark.createDataFrame([(number, generation)], "number bigint, generation string").coalesce(1).write.mode("errorifexists").parquet(f"{root}/pointers/p={number}")
+
+
+def _pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """(number, generation) of the greatest pointer that was written in full."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers/p=*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    numbers = [int(str(f.getPath().getParent().getName()).removeprefix("p=")) for f in found or []]
+    if not numbers:
+        return None
+    return max(numbers), spark.read.parquet(f"{root}/pointers/p={max(numbers)}").first()["generation"]
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the generation that the pointer names."""
-    generation = spark.read.parquet(f"{root}/current").first()["generation"]
-    return spark.read.parquet(f"{root}/generations/{generation}/{name}")
+    pointer = _pointer(spark, root)
+    if pointer is None:
+        raise FileNotFoundError(f"nothing was published under {root}")
+    return spark.read.parquet(f"{root}/generations/{pointer[1]}/{name}")
 
 
 def reclaimable(generations: DataFrame, current: DataFrame, leases: DataFrame) -> DataFrame:
