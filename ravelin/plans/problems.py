@@ -209,7 +209,7 @@ _KEY = """('$."' || k || '"')"""
 _WALK = rf"""WITH RECURSIVE raw AS (SELECT record_id, regexp_replace(payload, '^[\s\x{{FEFF}}]+|[\s\x{{FEFF}}]+$', '', 'g') AS t FROM receipt_records WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY received_at) = 1),
 roots AS (SELECT record_id, {_opened('TRY_CAST(t AS JSON)')} AS r FROM raw WHERE json_valid(t)),
 walk AS (SELECT record_id, '' AS path, CASE WHEN json_type(r) = 'ARRAY' THEN CAST('[' || array_to_string(list_transform(json_extract(r, '$[*]'), lambda q: CAST({_opened('q')} AS VARCHAR)), ',') || ']' AS JSON) ELSE r END AS node FROM roots WHERE json_type(r) IN ('OBJECT', 'ARRAY')
-  UNION ALL SELECT record_id, c.path, c.node FROM (SELECT record_id, unnest(CASE json_type(node) WHEN 'OBJECT' THEN list_transform(json_keys(node), lambda k: CASE WHEN {_DOTTED} THEN {{'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || {_HEAD}, 'node': json_object(substr(k, length({_HEAD}) + 2), json_extract(node, {_KEY}))}} ELSE {{'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || k, 'node': {_evened('k', f'json_extract(node, {_KEY})')}}} END) ELSE list_transform(range(json_array_length(node)), lambda i: {{'path': path || '[' || i || ']', 'node': json_extract(node, '$[' || i || ']')}}) END) AS c FROM walk) WHERE json_type(c.node) IN ('OBJECT', 'ARRAY'))
+  UNION ALL SELECT record_id, c.path, c.node FROM (SELECT record_id, unnest(CASE json_type(node) WHEN 'OBJECT' THEN list_transform(json_keys(node), lambda k: CASE WHEN {_DOTTED} THEN {{'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || {_HEAD}, 'node': json_object(substr(k, length({_HEAD}) + 2), json_extract(node, {_KEY}))}} ELSE {{'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || k, 'node': {_evened('k', f'json_extract(node, {_KEY})')}}} END) ELSE list_transform(range(CAST(json_array_length(node) AS BIGINT)), lambda i: {{'path': path || '[' || i || ']', 'node': json_extract(node, '$[' || i || ']')}}) END) AS c FROM walk) WHERE json_type(c.node) IN ('OBJECT', 'ARRAY'))
 """
 _PARENT = r"regexp_replace(regexp_replace(path, '(\.|^)[^.\[\]]+(\[\d+\])*$', ''), '^(\[\d+\])$', '\1')"
 
@@ -224,7 +224,7 @@ def _flat_sql(name: str) -> str:
 
 def _values_sql(name: str) -> str:
     where = r"^(\[\d+\]\.)?" + shred.VALUE_LISTS[name].removesuffix("[]").replace("[]", r"\[\d+\]").replace(".", r"\.") + "$"
-    return _WALK + f", v AS (SELECT record_id, path, unnest(range(json_array_length(node))) AS i, node FROM walk WHERE json_type(node) = 'ARRAY' AND regexp_matches(path, '{where}')) SELECT record_id, path || '[' || i || ']' AS node_path, {_PARENT} AS parent_path, node->>('$[' || i || ']') AS value FROM v WHERE json_type(node, '$[' || i || ']') NOT IN ('OBJECT', 'ARRAY', 'NULL')"
+    return _WALK + f", v AS (SELECT record_id, path, unnest(range(CAST(json_array_length(node) AS BIGINT))) AS i, node FROM walk WHERE json_type(node) = 'ARRAY' AND regexp_matches(path, '{where}')) SELECT record_id, path || '[' || i || ']' AS node_path, {_PARENT} AS parent_path, node->>('$[' || i || ']') AS value FROM v WHERE json_type(node, '$[' || i || ']') NOT IN ('OBJECT', 'ARRAY', 'NULL')"
 
 
 def sql() -> dict[str, str]:
