@@ -294,7 +294,7 @@ def _sentence_model(docs: list[list[tuple[str, ...]]], toxic: np.ndarray) -> np.
     """Training on sentences from verdicts on documents."""
     memo: dict = {}
     number: dict = {}
-    own = [[number.setdefault(s, len(number)) for s in set(read)] for read in docs]
+    own = [[number.setdefault(s, len(number)) for s in dict.fromkeys(read)] for read in docs]
     every = list(number)
     bags = [np.array(features(s, memo)) for s in every]
     count = np.zeros((2, len(every)))
