@@ -77,6 +77,43 @@ def search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("score"), "symbol", "file", "line_start", "id").limit(limit).select("id", "symbol", "file", "line_start", "score")
 
 
+def search_all(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query, id, symbol, file, line_start, score, place): :func:`search` for many queries (column query) at once.
+
+    The kinds of match are equi-joins on keys that both sides are taken apart
+    into: ids, symbols, their lower case, the parts behind ``::``, the words of
+    the last part.  A symbol that contains the bare query holds its rarest
+    three letters in a row; nodes with those are looked through (queries of
+    fewer letters: by all their letters' rows of one or two).  Null and empty
+    queries match nothing.
+    """
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be 1 to 200")
+    q = queries.select("query").where(F.coalesce(F.col("query"), F.lit("")) != "").distinct()
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    words = lambda c: F.array_join(T.identifier_segments(c), " ")
+    asked = F.array(key(600, F.col("query")), key(500, F.col("query")), key(400, F.lower("query")), key(300, F.col("query")), key(200, words(F.col("query"))))
+    asked = q.select("query", F.explode(asked).alias("_k")).select("query", "_k.*").where(F.col("key") != "")
+    parts = F.split("symbol", "::")
+    tails = F.transform(F.slice(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: key(300, F.array_join(F.slice(parts, i, F.size(parts)), "::")))
+    held = F.concat(F.array(key(600, F.col("id")), key(500, F.col("symbol")), key(400, F.lower("id")), key(400, F.lower("symbol")), key(200, words(F.element_at(parts, -1)))), tails)
+    keyed = nodes.select("id", F.explode(F.array_distinct(held)).alias("_k")).select("id", "_k.*").where(F.col("key").isNotNull())
+    by_key = keyed.join(asked, ["kind", "key"]).select("query", "id", F.col("kind").alias("score"))
+    # containment of the bare query
+    rows_of = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    bare = nodes.select("id", T.normalized_identifier("symbol").alias("_b")).where(F.col("_b") != "")
+    letters = F.concat(*[F.transform(rows_of(F.col("_b"), n), lambda x: x) for n in (1, 2, 3)])
+    held = cut(bare.select("id", "_b", F.explode(F.array_distinct(letters)).alias("_g")))
+    often = held.groupBy("_g").agg(F.count("*").alias("_n"))
+    asked = q.select("query", T.normalized_identifier("query").alias("_q")).where(F.col("_q") != "").withColumn("_l", F.least(F.length("_q"), F.lit(3)))
+    wanted = asked.select("query", "_q", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_q") - F.col("_l") + 1), lambda i: F.substring("_q", i, F.col("_l"))))).alias("_g"))
+    rarest = wanted.join(often, "_g", "left").groupBy("query", "_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_m")).select("query", "_q", F.col("_m.g").alias("_g"))
+    inside = held.join(rarest, "_g").where(F.contains("_b", F.col("_q"))).select("query", "id", F.lit(100).alias("score"))
+    best = by_key.unionByName(inside).groupBy("query", "id").agg(F.max("score").alias("score")).join(nodes.select("id", "symbol", "file", "line_start"), "id")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "symbol", "file", "line_start", "id"))
+    return best.withColumn("place", place).where(F.col("place") <= limit).select("query", "id", "symbol", "file", "line_start", "score", "place")
+
+
 def locate(values: DataFrame, nodes: DataFrame) -> DataFrame:
     """(value, id, exact): nodes whose id or symbol is the value; only where there is none, those whose symbol ends with ``::value``.
 

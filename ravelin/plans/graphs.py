@@ -44,6 +44,13 @@ def search(spark, d):
     return graph.search(_nodes(spark, d), QUERY, 200)
 
 
+def search_all(spark, d):
+    """The last parts of the symbols of the query set, against all nodes."""
+    nodes = _nodes(spark, d)
+    asked = _asked(spark, d).join(nodes, "id").select(F.element_at(F.split("symbol", "::"), -1).alias("query"))
+    return graph.search_all(nodes, asked, 20)
+
+
 def locate(spark, d):
     values = table(spark, d, "edges").select(F.col("target_text").alias("value"))
     return graph.locate(values, _nodes(spark, d))
@@ -103,6 +110,7 @@ NAMED = {
     "graph_precedence": node_precedence,
     "graph_best_hops": lambda spark, d: graph.best_hops(_hops(spark, d)).withColumn("cost", F.col("cost").cast("int")),
     "graph_search": search,
+    "graph_search_all": search_all,
     "graph_locate": locate,
     "graph_resolve": resolve,
     "graph_enclosing": enclosing,
@@ -151,7 +159,10 @@ def _whole() -> dict[str, str]:
     """SQL of the queries over the whole graph."""
     one = _one_file()
     over = lambda name, seeds: one[name].replace(f"seeds AS (SELECT id FROM live WHERE {_ONE_FILE})", f"seeds AS (SELECT id FROM live WHERE {seeds})")
+    seg = lambda x: "list_aggregate(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + x + ", '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''), 'string_agg', ' ')"
+    bare = lambda x: f"lower(regexp_replace({x}, '[^A-Za-z0-9]', '', 'g'))"
     return {
+        "graph_search_all": _BASE + f", q AS (SELECT DISTINCT string_split(symbol, '::')[-1] AS query FROM live WHERE {_ASKED} AND symbol IS NOT NULL), qq AS (SELECT query, {bare('query')} AS b, {seg('query')} AS s FROM q), n AS (SELECT *, {bare('symbol')} AS b, {seg("string_split(symbol, '::')[-1]")} AS s FROM live), m AS (SELECT query, id, symbol, file, line_start, CASE WHEN id = query THEN 600 WHEN symbol = query THEN 500 WHEN lower(id) = lower(query) OR lower(symbol) = lower(query) THEN 400 WHEN ends_with(symbol, '::' || query) THEN 300 WHEN n.s = qq.s THEN 200 WHEN contains(n.b, qq.b) THEN 100 END AS score FROM qq, n WHERE query <> '') SELECT *, row_number() OVER w AS place FROM m WHERE score IS NOT NULL WINDOW w AS (PARTITION BY query ORDER BY score DESC, symbol, file NULLS FIRST, line_start NULLS FIRST, id) QUALIFY row_number() OVER w <= 20",
         "graph_flow_counts": _BASE + "SELECT through, cost, count(*) AS n FROM (SELECT a.from_id, a.to_id AS through, b.to_id, min(a.cost) + min(b.cost) AS cost FROM hops a JOIN hops b ON b.from_id = a.to_id WHERE a.to_id IN (SELECT id FROM live) AND a.from_id <> b.to_id AND a.from_id <> a.to_id AND b.to_id <> a.to_id GROUP BY ALL) GROUP BY ALL",
         "graph_references_all": over("graph_references", "true"),
         "graph_impact_all": over("graph_impact", _ASKED),
