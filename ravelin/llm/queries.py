@@ -11,7 +11,8 @@ from ravelin.sources.tables import table
 
 def p6_assignments(spark: SparkSession, d: str) -> DataFrame:
     """Where each text, or each piece of a text longer than a container, lies."""
-    return packing.pack(packing.token_counts(table(spark, d, "documents")))
+    vocabulary = spark.conf.get("spark.ravelin.vocabulary", packing.VOCABULARY)
+    return packing.pack(packing.token_counts(table(spark, d, "documents"), vocabulary))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
