@@ -60,3 +60,18 @@ def test_search_for_many_queries_is_search_for_each(spark):
     for q in queries:
         want = [(i + 1, r["id"], r["score"]) for i, r in enumerate(graph.search(nodes, q, 5).collect())]
         assert sorted(got.get(q, [])) == want, q
+
+
+def test_status_ladder(spark):
+    from ravelin.operators import planning
+
+    reqs = spark.createDataFrame([(x,) for x in "abcdefg"], "id string")
+    specs = spark.createDataFrame([("a", "archived", "fail"), ("a", "active", "pass"), ("b", "active", "pass"), ("b", "active", "pass"), ("c", "active", "pass"), ("c", "active", None), ("d", "staged", None), ("e", "staged", "pass"), (None, "active", "pass")], "id string, tier string, verdict string")
+    ready = spark.createDataFrame([("d",), ("f",)], "id string")
+    assert rows(planning.status_ladder(reqs, specs, ready)) == {("a", "archived"), ("b", "verified"), ("c", "active"), ("d", "ready"), ("e", "planned"), ("f", "ready"), ("g", "unplanned")}
+
+
+def test_quality_gate(spark):
+    q = spark.createDataFrame([(1, 0.9), (2, 0.9), (3, 0.1)], "doc_id int, overall double")
+    d = spark.createDataFrame([(2, "error"), (1, "warning")], "doc_id int, severity string")
+    assert rows(G.quality_gate(q, d, 0.6), "doc_id", "n_errors", "passing") == {(1, 0, True), (2, 1, False), (3, 0, False)}

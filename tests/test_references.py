@@ -35,3 +35,17 @@ def test_hot_reference_is_split(spark):
     refs = spark.range(30_000).select(F.lit("t").alias("src_table"), F.col("id").cast("string").alias("src_id"), F.lit("f").alias("field"), F.lit("r").alias("target"), F.lit("gone").alias("ref_id"), F.lit("2026-01").alias("period"))
     deltas = spark.createDataFrame([], "target string, ref_id string, period string, there bigint")
     assert R.orphans(refs, deltas).count() == 30_000
+
+
+def test_a_delivery_added_to_the_state_is_the_whole(spark):
+    """Late existence, deletion and redelivered references, counted in two deliveries and at once."""
+    columns = "src_table string, src_id string, field string, target string, ref_id string, period string"
+    early = [("w", "1", "f", "t", "A", "2026-01"), ("w", "2", "f", "t", "A", "2026-02"), ("w", "3", "f", "t", "B", "2026-02")]
+    late = [("w", "1", "f", "t", "A", "2026-01"), ("w", "4", "f", "t", "B", "2026-03"), ("w", "5", "f", "t", "C", "2026-03")]
+    refs = [spark.createDataFrame(x, columns) for x in (early, late)]
+    deltas = [spark.createDataFrame(x, "target string, ref_id string, period string, there bigint") for x in ([("t", "A", "2026-02", 1), ("t", "B", "2026-01", 1)], [("t", "B", "2026-03", -1), ("t", "C", "2026-02", 1)])]
+    state, known = R.maintained(R.reference_state(refs[0], deltas[0]), refs[0], refs[1], deltas[1])
+    whole = R.orphan_states(refs[0].unionByName(refs[1]).distinct(), deltas[0].unionByName(deltas[1]))
+    assert {tuple(r) for r in R.report(state).collect()} == {tuple(r) for r in whole.select(*R.report(state).columns).collect()}
+    assert known.count() == 5
+    assert {(r["ref_id"], r["period"]) for r in R.report(state).where("there <= 0").collect()} == {("A", "2026-01"), ("B", "2026-03")}
